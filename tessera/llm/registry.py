@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, quality, secrets, tokens
+from tessera.llm import decontaminate, html_text, mixing, near_dup, quality, secrets, tokens
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality.op2_quality,
         "op3_secrets": secrets.op3_secrets,
+        "op4_near_duplicates": near_dup.op4_near_duplicates,
         "op5_html": html_text.op5_html,
+        "op8_mix": mixing.op8_mix,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
         "op9_tokens": tokens.op9_tokens,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mix": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
