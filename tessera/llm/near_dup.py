@@ -92,7 +92,9 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndar
             continue
         at = np.arange(len(piece), dtype=np.int64)
         at -= np.repeat(np.concatenate([[0], word]), np.diff(np.concatenate([[0], word, [len(piece)]])))
-        powers = np.cumprod(np.concatenate([[1], np.full(int(at.max()) + 1, 0x9E3779B97F4A7C15)]).astype(np.uint64))
+        powers = np.full(int(at.max()) + 2, 0x9E3779B97F4A7C15, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
         term = (piece.astype(np.uint64) + np.uint64(1)) * powers[at]
         term[~solid] = 0
         words = _mix(np.add.reduceat(term, word))
@@ -105,9 +107,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndar
             if b - a >= k:
                 out.append(np.unique(mixed[a : b - k + 1]))
             elif b > a:
-                short = np.uint64(b - a)  # the whole sequence, apart from longer shingles
-                for j, w in enumerate(words[a:b]):
-                    short += _mix(w * factor[j : j + 1])[0]
+                short = _mix(words[a:b] * factor[: b - a]).sum(dtype=np.uint64)  # the whole sequence
                 out.append(_mix(np.array([short ^ np.uint64(0x5851F42D4C957F2D)], np.uint64)))
             else:
                 out.append(none)

@@ -45,7 +45,9 @@ class Config:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = np.cumprod(np.concatenate([[1], np.full(255, 0x9E3779B97F4A7C15 | 1, np.uint64)]).astype(np.uint64))
+_POWERS = np.full(256, 0x9E3779B97F4A7C15, np.uint64)
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
 def _gram_buckets(raw: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
