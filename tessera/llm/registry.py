@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, mixing, near_dup, quality, secrets, tokens
+from tessera.llm import decontaminate, html_text, media, mixing, near_dup, quality, secrets, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_media": media.op1_media,
         "op2_quality": quality.op2_quality,
         "op3_secrets": secrets.op3_secrets,
         "op4_near_duplicates": near_dup.op4_near_duplicates,
