@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, media, mixing, near_dup, quality, secrets, tokens
+from tessera.llm import decontaminate, html_text, licenses, media, mixing, near_dup, quality, repeats, secrets, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_secrets": secrets.op3_secrets,
         "op4_near_duplicates": near_dup.op4_near_duplicates,
         "op5_html": html_text.op5_html,
+        "op6_licenses": licenses.op6_licenses,
+        "op7_repeats": repeats.op7_repeats,
         "op8_mix": mixing.op8_mix,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op9_tokens": tokens.op9_tokens,
