@@ -83,11 +83,13 @@ class Rng:
         if shape <= 0:
             raise ValueError("shape must be above zero")
         if shape < 1:
-            return self.gamma(shape + 1) * (1 - self.uniform()) ** (1 / shape)
+            return self.gamma(shape + 1) * self.uniform() ** (1 / shape)
         d = shape - 1 / 3
         c = 1 / math.sqrt(9 * d)
         while True:
             x = self.normal()
             v = (1 + c * x) ** 3
-            if v > 0 and math.log(1 - self.uniform()) < 0.5 * x * x + d * (1 - v + math.log(v)):
-                return d * v
+            if v > 0:
+                u = self.uniform()
+                if u == 0 or math.log(u) < 0.5 * x * x + d * (1 - v + math.log(v)):
+                    return d * v
