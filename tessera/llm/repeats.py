@@ -24,7 +24,8 @@ n_words and other_id, a document that has the passage (or part of it) too.  Word
 runs without ASCII white space, with A-Z lowered.  Defined results: null texts and texts of
 fewer than ``least`` words have no passages; every document of a group of equal texts of at
 least that length is one passage as a whole; passages repeated only within one document are
-not reported; repeated rows of one id count as one document; an empty table gives an empty
+not reported; in a run of one word over and over only the place at the run's end is kept, so what
+is reported of such a run may be less than all of it; repeated rows of one id count as one document; an empty table gives an empty
 result; other columns are ignored.
 """
 
