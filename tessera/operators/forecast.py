@@ -213,6 +213,12 @@ def report(r: Result) -> str:
     return "\n".join([*lines, f"converged: {'yes' if r.converged else 'no'}"]) + "\n"
 
 
+def write_report(r: Result, o: Options, path: str) -> None:
+    """Options and report in one text file."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(options_report(o) + report(r))
+
+
 def options_report(o: Options) -> str:
     return "".join(f"{k}: {v}\n" for k, v in vars(o).items())
 

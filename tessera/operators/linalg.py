@@ -178,6 +178,14 @@ def integer_power(a, n: int) -> np.ndarray:
         return 1.0 / out if n < 0 else out
 
 
+def transpose(a) -> np.ndarray:
+    return _m(a).T.copy()
+
+
+def trace(a) -> float:
+    return float(np.trace(_square(a)))
+
+
 def vcat(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
@@ -201,6 +209,16 @@ def multiply(df: DataFrame, xs: Sequence[str], small, names: Sequence[str] | Non
     return df.select(*keep, *out)
 
 
+def dot(df: DataFrame, a: str, b: str, name: str = "dot") -> DataFrame:
+    """Inner product of two columns."""
+    return df.agg(F.coalesce(F.sum(F.col(a).cast("double") * F.col(b).cast("double")), F.lit(0.0)).alias(name))
+
+
+def vector_norm(df: DataFrame, a: str, name: str = "norm") -> DataFrame:
+    """Euclidean length of a column."""
+    return dot(df, a, a, name).select(F.sqrt(name).alias(name))
+
+
 def gram(df: DataFrame, xs: Sequence[str]) -> np.ndarray:
     """X'X by one aggregation with map-side partial sums."""
     cols = [F.col(x).cast("double") for x in xs]
@@ -231,6 +249,14 @@ def tsqr_r(df: DataFrame, xs: Sequence[str]) -> np.ndarray:
     return np.linalg.qr(np.array([tuple(p) for p in parts]).reshape(-1, d), mode="r")
 
 
+def tall_svd(df: DataFrame, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values (descending) and right singular vectors (rows) of a tall matrix.
+
+    They are those of its R factor; left vectors are :func:`multiply` by V' / s."""
+    _, s, vt = np.linalg.svd(tsqr_r(df, xs), full_matrices=False)
+    return s, vt
+
+
 def _with_constant(df: DataFrame, xs: Sequence[str], y: str, intercept: bool) -> tuple[DataFrame, list[str]]:
     columns = [F.col(x).cast("double").alias(f"a{i}") for i, x in enumerate(xs)]
     names = [f"a{i}" for i in range(len(xs))]

@@ -330,6 +330,43 @@ _add(
 )
 
 
+# Decompositions of the 2 x 2 Gram matrix of two columns, whose oracles have closed forms.
+_G = """WITH g AS (SELECT SUM(l_quantity * l_quantity) / COUNT(*) AS a, SUM(l_quantity * l_tax) / COUNT(*) AS b, SUM(l_tax * l_tax) / COUNT(*) AS c FROM lineitem)"""
+_EIG = "(a + c) / 2 {0} SQRT((a - c) * (a - c) / 4 + b * b)"
+
+
+def _small(make: Callable, fields: list[str]):
+    def build(t):
+        df = t("lineitem")
+        g = linalg.gram(df, ["l_quantity", "l_tax"]) / df.count()
+        return df.sparkSession.createDataFrame([tuple(float(v) for v in make(g))], ", ".join(f"{f} double" for f in fields))
+
+    return build
+
+
+_add("mat_chol", _small(lambda g: linalg.cholesky(g)[[0, 1, 1], [0, 0, 1]], ["x", "y", "z"]), f"{_G} SELECT SQRT(a) AS x, b / SQRT(a) AS y, SQRT(c - b * b / a) AS z FROM g")
+_add("mat_det_trace", _small(lambda g: (linalg.det(g), linalg.trace(g)), ["d", "t"]), f"{_G} SELECT a * c - b * b AS d, a + c AS t FROM g")
+_add("mat_inv", _small(lambda g: linalg.inv(g)[[0, 0, 1], [0, 1, 1]], ["x", "y", "z"]), f"{_G} SELECT c / (a * c - b * b) AS x, -b / (a * c - b * b) AS y, a / (a * c - b * b) AS z FROM g")
+_add("mat_eig_sym", _small(lambda g: linalg.eig_sym(g)[0], ["lo", "hi"]), f"{_G} SELECT (a * c - b * b) / ({_EIG.format('+')}) AS lo, {_EIG.format('+')} AS hi FROM g")
+_add("mat_eig", _small(lambda g: sorted(linalg.eig(g)[0]), ["lo", "hi"]), f"{_G} SELECT (a * c - b * b) / ({_EIG.format('+')}) AS lo, {_EIG.format('+')} AS hi FROM g")
+_add("mat_svd", _small(lambda g: linalg.svd(g)[1], ["hi", "lo"]), f"{_G} SELECT (a * c - b * b) / ({_EIG.format('+')}) AS lo, {_EIG.format('+')} AS hi FROM g")
+_add("mat_solve", _small(lambda g: linalg.solve(g, [1.0, 2.0]), ["x", "y"]), f"{_G} SELECT (c - 2 * b) / (a * c - b * b) AS x, (2 * a - b) / (a * c - b * b) AS y FROM g")
+_add("mat_lu", _small(lambda g: linalg.lu(g)[0].ravel(), ["p", "q", "r", "s"]), f"{_G} SELECT a AS p, b AS q, b / a AS r, c - b * b / a AS s FROM g")
+_add("mat_dot", lambda t: linalg.dot(t("lineitem"), "l_quantity", "l_tax"), "SELECT SUM(l_quantity * l_tax) AS dot FROM lineitem")
+_add("mat_vector_norm", lambda t: linalg.vector_norm(t("lineitem"), "l_extendedprice"), "SELECT SQRT(SUM(l_extendedprice * l_extendedprice)) AS norm FROM lineitem")
+_add("mat_vcat", lambda t: linalg.vcat(t("region"), t("region")), "SELECT * FROM region UNION ALL SELECT * FROM region")
+_add("mat_hcat", lambda t: linalg.hcat(t("part").select("p_partkey", "p_size"), t("part").select("p_partkey", "p_retailprice"), "p_partkey"), "SELECT p_partkey, p_size, p_retailprice FROM part")
+
+
+def _tall_svd(t):
+    df = t("lineitem")
+    s, _ = linalg.tall_svd(df, ["l_quantity", "l_tax"])
+    return df.sparkSession.createDataFrame([(float(s[0] ** 2 / df.count()),)], "hi double")
+
+
+_add("mat_tall_svd", _tall_svd, f"{_G} SELECT {_EIG.format('+')} AS hi FROM g")
+
+
 def queries() -> dict[str, Query]:
     from tessera.plans import catalogue_more
 
