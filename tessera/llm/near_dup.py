@@ -15,10 +15,11 @@ nearer to each other are missed less.  What is still large at ``depth`` is cut i
 blocks of the node are compared, so no case is dropped.
 
 *Leaves.*  Signatures of a leaf are compared exhaustively, and the connected parts of "at
-least ``agree`` equal coordinates" go on as one group each (equal groups of different trees
-once).  Only their members' full sets are made, from whole texts, and compared exactly
-inside the group; pairs that are already connected there are skipped.  Links found are the
-edges of the result's components, which are found by large-star/small-star steps.
+least ``agree`` equal coordinates" go on as one group each.  Groups that overlap are joined up
+to ``together`` classes.  Only their members' full sets are made, from whole texts, and
+compared exactly inside the group; pairs that are already connected there are skipped.
+Links found are the edges of the result's components, which are found by
+large-star/small-star steps.
 
 Defined results: words are maximal runs without ASCII white space, with A-Z lowered; a text
 of fewer words than a shingle is one shingle, its whole sequence; texts without words and
@@ -49,10 +50,12 @@ class Config:
     coordinates: int = 32
     trees: int = 4
     branch: int = 2
-    small: int = 192
+    small: int = 2048
     depth: int = 5
     level_choice: int = 6
     agree: int = 16
+    #: Candidates that hang together are compared in one task up to this many classes.
+    together: int = 4096
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,20 +185,18 @@ def _bounds(values: list) -> list[int]:
     return [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
 
 
-def _parts(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
+def _parts(near: np.ndarray) -> np.ndarray:
+    """Number of the connected part of each row of a symmetric boolean matrix."""
+    part = np.full(len(near), -1)
+    for i in range(len(near)):
+        if part[i] >= 0:
+            continue
+        front = np.array([i])
+        part[i] = i
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & (part < 0))
+            part[front] = i
+    return part
 
 
 def _agreement(sig: np.ndarray) -> np.ndarray:
@@ -224,72 +225,43 @@ def _leaf_groups(config: Config) -> Callable:
             gids, groups = [], []
             for g in np.flatnonzero(near):
                 a, b = int(cut[g]), int(cut[g + 1])
-                if b - a == 2:
-                    parts = [0, 0]
-                else:
-                    i, j = np.nonzero(np.triu(_agreement(sig[a:b]) >= config.agree, 1))
-                    if not len(i):
-                        continue
-                    parts = _parts(b - a, zip(i.tolist(), j.tolist()))
-                for r in set(parts):
-                    some = sorted(cids[a + x] for x, p in enumerate(parts) if p == r)
-                    if len(some) > 1:
-                        groups.append(some)
-                        gids.append(hashlib.blake2b(b"".join(some), digest_size=16).digest())
+                part = np.zeros(2, int) if b - a == 2 else _parts(_agreement(sig[a:b]) >= config.agree)
+                names, count = np.unique(part, return_counts=True)
+                for r in names[count > 1]:
+                    some = sorted(cids[a + x] for x in np.flatnonzero(part == r))
+                    groups.append(some)
+                    gids.append(hashlib.blake2b(b"".join(some), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(gids, pa.binary()), pa.array(groups, pa.list_(pa.binary()))], ["gid", "cids"])
 
     return run
 
 
 def linked(sets: list[np.ndarray], config: Config) -> list[tuple[int, int]]:
-    """Exact links that connect what is linked among a few sets (a spanning forest of it)."""
+    """Exact links that connect what is linked among a few sets (a spanning forest of it).
+
+    Each set in turn is compared with all sets that are not yet connected with it and whose
+    size allows a link; one pass over their shingles counts all intersections.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
+    part = np.arange(n)
     found: list[tuple[int, int]] = []
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    if n > 8:  # all intersections at once: a 0/1 matrix of members and shared shingles
-        flat = np.concatenate(sets)
-        member = np.repeat(np.arange(n), size)
-        value, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count > 1
-        rank = np.cumsum(shared) - 1
-        keep = shared[where]
-        member, where = member[keep], rank[where[keep]]
-        inter = np.zeros((n, n), np.float32)
-        width, most = int(shared.sum()), 1 << 15
-        order = np.argsort(where, kind="stable")
-        member, where = member[order], where[order]
-        for low in range(0, width, most):
-            a, b = np.searchsorted(where, [low, low + most])
-            m = np.zeros((n, min(most, width - low)), np.float32)
-            m[member[a:b], where[a:b] - low] = 1
-            inter += m @ m.T
-        inter = inter.astype(np.int64)
-        union = size[:, None] + size[None, :] - inter
-        i, j = np.nonzero(np.triu(config.below * inter >= config.above * union, 1))
-        pairs = zip(i.tolist(), j.tolist())
-    else:
-        pairs = ((i, j) for i in range(n) for j in range(i + 1, n))
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a == b:
+    for i in range(n):
+        low, high = np.minimum(size, size[i]), np.maximum(size, size[i])
+        rest = np.flatnonzero((part != part[i]) & (config.below * low >= config.above * high))
+        if not len(rest):
             continue
-        if n <= 8:
-            lo, hi = sorted((size[i], size[j]))
-            if config.below * lo < config.above * hi:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if config.below * both < config.above * (lo + hi - both):
-                continue
-        root[max(a, b)] = min(a, b)
-        found.append((i, j))
+        if len(rest) == 1:
+            both = np.array([len(np.intersect1d(sets[i], sets[rest[0]], assume_unique=True))])
+        else:
+            flat = np.concatenate([sets[j] for j in rest])
+            at = np.searchsorted(sets[i], flat)
+            hit = sets[i][np.minimum(at, size[i] - 1)] == flat
+            both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[rest])[:-1]]), dtype=np.int64)
+        for j in rest[config.below * both >= config.above * (size[rest] + size[i] - both)]:
+            if part[j] != part[i]:
+                found.append((i, int(j)))
+                part[part == part[j]] = part[i]
     return found
 
 
@@ -349,9 +321,9 @@ def _leaves(classes: DataFrame, config: Config) -> DataFrame:
         span = max(1, min(width, config.coordinates - base))
         pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(span))
         step = 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(max(1, span - 1)))
-        chosen = F.explode(F.array(*[F.pmod(pick + b * step, F.lit(span)) + base for b in range(config.branch)]))
+        chosen = F.explode(F.array(*[(F.pmod(pick + b * step, F.lit(span)) + base).cast("int") for b in range(config.branch)]))
         level = (
-            large.select("node", "cid", chosen.cast("int").alias("at"))
+            large.select("node", "cid", chosen.alias("at"))
             .join(classes.select("cid", "sig"), "cid")
             .select("cid", F.xxhash64("node", "at", F.substring(F.col("sig"), F.col("at") * 8 + 1, F.lit(8))).alias("node"))
         )
@@ -389,6 +361,23 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _gathered(groups: DataFrame, config: Config) -> DataFrame:
+    """(gid, cid): the classes to compare with each other.
+
+    Groups of different nodes that overlap are one if they have at most ``together`` classes,
+    so that each full set is sent once; what hangs together beyond that stays in its groups.
+    """
+    members = groups.select("gid", F.explode("cids").alias("cid"))
+    chain = groups.select(F.explode(F.slice("cids", F.lit(2), F.size("cids"))).alias("a"), F.get("cids", F.lit(0)).alias("b"))
+    roots = _base.materialize(components(chain), "candidate-roots")
+    whole = roots.select(F.col("node").alias("cid"), "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct())
+    sizes = whole.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sized = _base.materialize(whole.join(sizes, "root"), "candidate-sizes")
+    small = sized.where(F.col("n") <= config.together).select(F.col("root").alias("gid"), "cid")
+    large = sized.where(F.col("n") > config.together).select("cid")
+    return _base.materialize(small.unionByName(members.join(large, "cid").select("gid", "cid")), "members")
+
+
 def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -399,7 +388,7 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     leaves = _leaves(classes, config).join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
     found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_groups(config), "gid binary, cids array<binary>")
     groups = _base.materialize(found.groupBy("gid").agg(F.first("cids").alias("cids")), "groups")
-    members = groups.select("gid", F.explode("cids").alias("cid"))
+    members = _gathered(groups, config)
     needed = _base.materialize(members.select("cid").distinct().join(classes.select("cid", "least_id"), "cid"), "needed")
     texts = docs.select(F.col("doc_id"), "text").join(needed.hint("shuffle_hash"), docs["doc_id"] == needed["least_id"]).select("cid", "text")
     # A repeated id may bring a text that is not of the class: its digest tells, below.
@@ -423,3 +412,22 @@ def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return find(_base.documents(spark, sf_dir), Config(shingle=4))
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM w),
+g AS (
+  SELECT doc_id, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS s
+  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, s FROM g WHERE i <= greatest(n - 3, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
