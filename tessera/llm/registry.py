@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op4_near_duplicates": near_dup.OP4_SQL, "op8_mix": mixing.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
