@@ -227,9 +227,7 @@ def scan(docs: DataFrame, config: Config = Config()) -> DataFrame:
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lower = _base.ascii_lower(F.col("line"))
     stems = ("licen", "copyright", "warrant", "permi", "redistribut", "gpl", "apache", "bsd", "isc", "mpl", "mozilla", "epl", "eclipse", "cc", "commons", "creative", "attribution", "commercial", "sharealike", "domain", "unencumbered", "reserved", "proprietary", "affero", "lesser", "by-nc", "by-sa")
-    maybe = F.lit(False)
-    for stem in stems:
-        maybe = maybe | F.contains(lower, F.lit(stem))
+    maybe = F.col("line").rlike("(?i)" + "|".join(stems))  # one pass over the line as it is
     found = lines.where(maybe).select("doc_id", "row", "paragraph", F.explode(F.array(F.filter(F.split(lower, _SPLIT), lambda w: w != ""))).alias("w"))
     found = found.where(F.arrays_overlap("w", F.array(*[F.lit(t) for t in TERMS])))
     terms = F.array(*[F.lit(t) for t in TERMS])
