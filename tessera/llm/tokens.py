@@ -5,11 +5,11 @@ an end id and cut into shards at document borders.  A shard is one compressed fi
 (:mod:`tessera.llm.wavelet`), written by Spark as a row of a Parquet table, so it reaches any
 store that Spark can write.  The numbers of the result are computed from the files, read back.
 
-Encoding: a byte-level BPE works on each pre-token by itself, and a space that is followed
-by a solid character (or follows one) always begins a pre-token.  So a text may be cut before
-such spaces and the pieces encoded once each: a bounded per-worker table keeps the ids of
-pieces already seen, and the tokenizer only ever sees new ones.  Texts with the vocabulary's
-special strings, or with longer runs of white space, go to the tokenizer whole.
+Encoding: a byte-level BPE works on each pre-token by itself, and where white space comes
+one character at a time, a pre-token begins at every space and on both sides of a newline.
+So a text may be cut there and each piece encoded once: a bounded per-worker table keeps the
+ids of pieces already seen, and the tokenizer's model only ever sees new ones.  Texts with the
+vocabulary's special strings, or with longer runs of white space, go to the tokenizer whole.
 
 Defined results: a null or empty text is the end id alone; documents with equal ids keep a
 fixed order (by text); a null id sorts first; any length is encoded whole; an empty table
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,16 +38,28 @@ class Config:
     end_id: int = 0
     bits: int = 16
     shard_tokens: int = 1 << 21
-    #: Pieces whose ids a worker remembers (about 150 bytes each).
-    cached_pieces: int = 1_000_000
+    #: Pieces whose ids a worker remembers (about 300 bytes each).
+    cached_pieces: int = 1_200_000
 
 
-_TRICKY = re.compile(r"\s (?:\s|$)")
-_PIECE_BYTES = 200
+_TRICKY = re.compile(r"\s\s")
+# Fixed value: the pre-token pattern of byte-level BPE as published with GPT-2.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 is itself, the
+    others follow from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
-    """Whole texts to token ids as little-endian bytes of 16 or 32 bits."""
+    """Whole texts to token ids, as little-endian bytes of 16 or 32 bits."""
 
     def __init__(self, path: str | None, most: int) -> None:
         import json
@@ -69,28 +82,42 @@ class Encoder:
             and not before.get("add_prefix_space")
         )
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most, self.seen = most, {}
+        self.most, self.seen, self.words = most, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces.  Those of common scripts are cut into pre-tokens here, and the BPE
+        model sees each new pre-token once; the others go through the whole tokenizer."""
+        odd, model = [], self.tokenizer.model
+        for p in pieces:
+            if p and max(p) < "\u0590":
+                found = []
+                for word in _PRE_TOKEN.findall(p):
+                    ids = self.words.get(word)
+                    if ids is None:
+                        spelt = word.encode().decode("latin-1").translate(_LETTERS)
+                        ids = self.words[word] = np.array([t.id for t in model.tokenize(spelt)], self.kind).tobytes()
+                    found.append(ids)
+                self.seen[p] = found[0] if len(found) == 1 else b"".join(found)
+            else:
+                odd.append(p)
+        self.seen.update(zip(odd, self._whole(odd), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str] | None] = []
         for t in texts:
-            plain = self.splits and not _TRICKY.search(t) and not any(s in t for s in self.special)
-            pieces.append(t.replace(" ", "\0 ").split("\0") if plain and "\0" not in t else None)
-        new = {p for cut in pieces if cut for p in cut if p not in self.seen}
+            plain = self.splits and "\0" not in t and not _TRICKY.search(t) and not any(s in t for s in self.special)
+            pieces.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else None)
+        wanted = set().union(*[cut for cut in pieces if cut])
+        new = wanted.difference(self.seen)
         if len(self.seen) + len(new) > self.most:
-            self.seen = {}
-            new = {p for cut in pieces if cut for p in cut}
-        new = list(new)
-        self.seen.update(zip(new, self._whole(new), strict=True))
+            self.seen, self.words, new = {}, {}, wanted
+        self._learn(list(new))
         whole = iter(self._whole([t for t, cut in zip(texts, pieces, strict=True) if cut is None]))
         get = self.seen.__getitem__
-        out = [next(whole) if cut is None else b"".join(map(get, cut)) for cut in pieces]
-        if len(self.seen) > self.most:
-            self.seen = {}
-        return out
+        return [next(whole) if cut is None else b"".join(map(get, cut)) for cut in pieces]
 
 
 _encoders: dict[tuple, Encoder] = {}
