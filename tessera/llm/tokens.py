@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ class Config:
     bits: int = 16
     shard_tokens: int = 1 << 21
     #: Pieces whose ids a worker remembers (about 300 bytes each).
-    cached_pieces: int = 1_200_000
+    cached_pieces: int = 1_600_000
 
 
 _TRICKY = re.compile(r"\s\s")
@@ -82,6 +83,7 @@ class Encoder:
             and not before.get("add_prefix_space")
         )
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.most, self.seen, self.words = most, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -98,7 +100,7 @@ class Encoder:
                     ids = self.words.get(word)
                     if ids is None:
                         spelt = word.encode().decode("latin-1").translate(_LETTERS)
-                        ids = self.words[word] = np.array([t.id for t in model.tokenize(spelt)], self.kind).tobytes()
+                        ids = self.words[word] = array(self.code, [t.id for t in model.tokenize(spelt)]).tobytes()
                     found.append(ids)
                 self.seen[p] = found[0] if len(found) == 1 else b"".join(found)
             else:
@@ -113,7 +115,9 @@ class Encoder:
         wanted = set().union(*[cut for cut in pieces if cut])
         new = wanted.difference(self.seen)
         if len(self.seen) + len(new) > self.most:
-            self.seen, self.words, new = {}, {}, wanted
+            self.seen, new = {}, wanted
+            if len(self.words) > self.most // 2:
+                self.words = {}
         self._learn(list(new))
         whole = iter(self._whole([t for t, cut in zip(texts, pieces, strict=True) if cut is None]))
         get = self.seen.__getitem__
@@ -157,8 +161,8 @@ def write_shards(docs: DataFrame, config: Config = Config()) -> DataFrame:
             return row
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024]
                 for i, n, b in zip(some["id"], some["no_id"], encoder(config).encode(some["text"].tolist()), strict=True):
                     ids.append(i)
                     null.append(n)
