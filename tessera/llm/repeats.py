@@ -1,31 +1,28 @@
-"""Suffix-array dedup: passages that several documents share.
-
-A *sparse* suffix array over words.  Of all suffixes only those at minimiser positions are
-kept: of every ``window`` consecutive k-grams (``gram`` words each) the one with the smallest
-hash.  Two documents that share ``least`` = gram + window - 1 words share such a position at
-the same place of the passage, whatever stands around it.
-
-Suffixes whose first k-gram occurs in one text only are dropped by counting.  The others get
-their context (word hashes of the words before, read backwards, and of those that follow),
-are sorted by k-gram and right context as in a suffix array, and each is compared with its
-neighbour of another text: the match is extended right and left, and counts if it has
-``least`` words in all.  The same is done once more in the order of the left contexts, since
-neighbours by what follows need not be neighbours by what comes before.  Context lengths are
-such that a passage of ``least`` words is never cut short; longer passages are the union of
-the matches of their suffixes.
-
-Scale: the sort is a range partition of (k-gram, context, text, position), so a passage that
-a third of all documents share is spread over partitions; the first and last suffix of each
-partition are compared with those of the next one in a second step.  Copies of a whole text
-are one text from the start.
+"""Repeated passages: word spans that several documents share.
+
+A passage counts if it has ``least`` = gram + window - 1 words, so the passages of a document
+are the union of its windows of ``least`` words that another text has too.  Comparing the hashes
+of all windows of all texts would be a row for each word.  Two steps leave out what cannot
+match, and nothing else:
+
+* The *anchor* of a window is its k-gram (``gram`` words) with the smallest hash.  It depends on
+  the words of the window alone, so texts that share a window share its anchor.  Anchors that
+  occur in one text only are dropped by counting, with all of their windows.
+* Consecutive windows with one anchor make a *piece*.  Equal pieces are counted as one row.  A
+  piece that several texts have is repeated as a whole; the windows of all distinct pieces are
+  counted once more, which finds the windows that a piece of one text shares with other pieces.
+
+Scale: both counts are aggregates that combine before the shuffle, so a passage that a third of
+all documents share is one row a task; only the way back from pieces to texts joins all rows of
+a piece.  A text that has a piece many times has one row with all the places.  Copies of a
+whole text are one text from the start.
 
 Result: per document and maximal repeated passage: doc_id, start_word, end_word (exclusive),
 n_words and other_id, a document that has the passage (or part of it) too.  Words are maximal
 runs without ASCII white space, with A-Z lowered.  Defined results: null texts and texts of
 fewer than ``least`` words have no passages; every document of a group of equal texts of at
 least that length is one passage as a whole; passages repeated only within one document are
-not reported; in a run of one word over and over only the place at the run's end is kept, so what
-is reported of such a run may be less than all of it; repeated rows of one id count as one document; an empty table gives an empty
+not reported; repeated rows of one id count as one document; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -111,7 +108,7 @@ def _sliding(x: np.ndarray, width: int, take: Callable) -> np.ndarray:
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the least of some window; of a run of equal k-grams only the last."""
+    """Positions that are the least of some window; of a run of equal k-grams only the last, which has their hash."""
     if len(grams) < window:
         return np.zeros(0, np.int64)
     least = _sliding(grams, window, np.minimum)
@@ -159,114 +156,105 @@ def _suffixes(config: Config) -> Callable:
     return run
 
 
-def _contexts(config: Config) -> Callable:
-    """(cls, places, text) to (key, cls, pos, before, after)."""
-    reach = config.window - 1
+def anchors(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each ``window`` consecutive k-grams the position of the least, of equal ones the last."""
+    if len(grams) < window:
+        return np.zeros(0, np.int64)
+    return _sliding(np.arange(len(grams)), window, lambda a, b: np.where(grams[b] <= grams[a], b, a))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = _base.utf8(batch.column(2))
-            out: list[tuple] = []
-            for i, (cls, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                words = word_hashes(raw[at[i] : at[i + 1]])
-                grams = gram_hashes(words, config.gram).view(np.int64)
-                small = (words >> np.uint64(32)).astype(">u4")
-                for p in places:
-                    before = small[max(0, p - reach) : p][::-1].tobytes()
-                    after = small[p + config.gram : p + config.gram + reach].tobytes()
-                    out.append((int(grams[p]), cls, p, before, after))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "cls", "pos", "before", "after"])
 
-    return run
+def _lists(values: list[np.ndarray], sizes: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values), kind))
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words at the start that two contexts share."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    lo, hi = 0, n
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[: 4 * mid] == b[: 4 * mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+#: Windows that one Arrow batch of pieces holds, about.
+_MANY = 500_000
 
 
-_MATCH = "kind string, part int, cls binary, start int, stop int, other binary, key long, pos int, before binary, after binary"
-_NAMES = [x.split()[0] for x in _MATCH.split(", ")]
-_KINDS = [pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+def _pieces(config: Config) -> Callable:
+    """(cls, places, text) to pieces (piece, cls, starts, windows).
 
+    A piece is a run of consecutive windows of ``least`` words that have one anchor: the hashes
+    of its windows, and the words of the text where it starts, however often the text has it.
+    """
 
-def _neighbours(config: Config, edges: bool) -> Callable:
-    """Sorted suffix rows (key, cls, pos, before, after) to matches, and the rows at both edges."""
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        classes, names, starts, times, windows, sizes = zip(*held)
+        cls = pa.array(classes, pa.binary()).take(pa.array(np.repeat(np.arange(len(names)), [len(x) for x in names])))
+        columns = [pa.array(np.concatenate(names).view(np.int64)), cls, _lists(starts, times, pa.int32()), _lists(windows, sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["piece", "cls", "starts", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for batch in batches:
+            raw, at = _base.utf8(batch.column(2))
+            held: list[tuple] = []
+            many = 0
+            for i, (cls, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words = word_hashes(raw[at[i] : at[i + 1]])
+                grams = gram_hashes(words, config.gram)
+                anchor = anchors(grams, config.window)
+                first = np.flatnonzero(np.diff(anchor, prepend=-1))
+                size = np.diff(np.append(first, len(anchor)))
+                keep = np.isin(grams[anchor[first]], grams[places])
+                first, size = first[keep], size[keep]
+                whole = gram_hashes(words, config.least)
+                # The first and the last window overlap: with their distance they tell all words of the piece.
+                name = _mix(whole[first] * np.uint64(0xD6E8FEB86659FD93) + _mix(whole[first + size - 1] + size.astype(np.uint64)))
+                order = np.argsort(name, kind="stable")
+                name, one, times = np.unique(name[order], return_index=True, return_counts=True)
+                one = order[one]
+                size, begin = size[one], first[one]
+                ends = np.cumsum(size)
+                windows = whole[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]
+                held.append((cls, name, first[order].astype(np.int32), times, windows.view(np.int64), size))
+                many += len(windows)
+                if many > _MANY:
+                    yield rows(held)
+                    held, many = [], 0
+            if held:
+                yield rows(held)
 
-        part = TaskContext.get().partitionId()
-        last = different = None  # the row before, and the last one of another text than that
+    return run
 
-        def edge(row: tuple) -> tuple:
-            return ("edge", part, row[1], None, None, None, row[0], row[2], row[3], row[4])
 
+def _merged(config: Config) -> Callable:
+    """(cls, matches) to maximal spans (cls, start, stop, other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                key, cls, pos, before, after = row
-                if last is None and edges:
-                    out.append(edge(row))
-                if last is not None and last[1] != cls:
-                    different = last
-                if different is not None and different[0] == key and different[1] != cls:
-                    left, right = _common(before, different[3]), config.gram + _common(after, different[4])
-                    if left + right >= config.least:
-                        out.append(("match", part, cls, pos - left, pos + right, different[1], None, None, None, None))
-                        p = different[2]
-                        out.append(("match", part, different[1], p - left, p + right, cls, None, None, None, None))
-                last = row
-            columns = list(zip(*out)) or [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
-        if last is not None and edges:
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(edge(last), _KINDS)], _NAMES)
+            for cls, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held: list | None = None
+                spans = ((at + m["shift"], at + m["shift"] + m["n"] - 1 + config.least, m["other"]) for m in matches for at in m["starts"])
+                for start, stop, other in sorted(spans):
+                    if held is not None and start <= held[1]:
+                        held[1], held[2] = max(held[1], stop), min(held[2], other)
+                        continue
+                    if held is not None:
+                        out.append((cls, *held))
+                    held = [start, stop, other]
+                out.append((cls, *held))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int32(), pa.int32(), pa.binary()])], ["cls", "start", "stop", "other"]
+            )
 
     return run
 
 
-def _matches(suffixes: DataFrame, context: str, config: Config) -> DataFrame:
-    """Matches of neighbours in the order of one context."""
-    order = ["key", context, "cls", "pos"]
-    columns = ["key", "cls", "pos", "before", "after"]
-    dealt = suffixes.select(columns).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = _base.materialize(dealt.mapInArrow(_neighbours(config, True), _MATCH), f"matches-{context}")
-    # At most two rows of each partition: what stands on both sides of a border.
-    borders = found.where(F.col("kind") == "edge").select(columns).coalesce(1).sortWithinPartitions(*order)
-    across = borders.mapInArrow(_neighbours(config, False), _MATCH)
-    return found.where(F.col("kind") == "match").unionByName(across).select("cls", "start", "stop", "other")
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, matches) to maximal spans (cls, start, stop, other)."""
-    for batch in batches:
-        out: list[tuple] = []
-        for cls, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held: list | None = None
-            for s in sorted(spans, key=lambda x: (x["start"], x["stop"])):
-                if held is not None and s["start"] <= held[1]:
-                    held[1], held[2] = max(held[1], s["stop"]), min(held[2], s["other"])
-                    continue
-                if held is not None:
-                    out.append((cls, *held))
-                held = [s["start"], s["stop"], s["other"]]
-            out.append((cls, *held))
-        columns = list(zip(*out)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int32(), pa.int32(), pa.binary()])], ["cls", "start", "stop", "other"]
-        )
+def _matches(pieces: DataFrame) -> DataFrame:
+    """Pieces, or single windows of them, that another text has: cls, starts, shift, n windows, other."""
+    known = pieces.groupBy("piece").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.first("starts").alias("starts"), F.first("windows").alias("windows"))
+    known = _base.materialize(known, "distinct-pieces")
+    several = F.col("a") != F.col("b")
+    other = F.when(F.col("a") == F.col("cls"), F.col("b")).otherwise(F.col("a")).alias("other")
+    whole = known.where(several).select("piece", "a", "b", F.size("windows").alias("n"))
+    whole = pieces.select("piece", "cls", "starts").join(whole, "piece").select("cls", "starts", F.lit(0).alias("shift"), "n", other)
+    # A piece of one text may have windows that are parts of other pieces.
+    repeated = known.select("a", "b", F.explode("windows").alias("window")).groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(several)
+    lone = known.where(~several).select(F.col("a").alias("cls"), "starts", F.posexplode("windows").alias("shift", "window"))
+    return whole.unionByName(lone.join(repeated, "window").select("cls", "starts", "shift", F.lit(1).alias("n"), other))
 
 
 def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -283,11 +271,10 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     places = keyed.join(shared, "key").groupBy("cls").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     wanted = _base.materialize(places.join(classes.select("cls", "first_id"), "cls"), "suffix-places").withColumnRenamed("cls", "cls2")
     body = texts.join(wanted.hint("shuffle_hash"), (texts["doc_id"] == wanted["first_id"]) & (texts["cls"] == wanted["cls2"]))
-    suffixes = body.select("cls", "places", "text").mapInArrow(_contexts(config), "key long, cls binary, pos int, before binary, after binary")
-    suffixes = _base.materialize(suffixes, "suffixes")
-    matches = _matches(suffixes, "after", config).unionByName(_matches(suffixes, "before", config)).distinct()
-    gathered = matches.groupBy("cls").agg(F.collect_list(F.struct("start", "stop", "other")).alias("spans"))
-    spans = gathered.mapInArrow(_merged, "cls binary, start int, stop int, other binary")
+    pieces = body.select("cls", "places", "text").mapInArrow(_pieces(config), "piece long, cls binary, starts array<int>, windows array<long>")
+    pieces = _base.materialize(pieces, "pieces")
+    gathered = _matches(pieces).groupBy("cls").agg(F.collect_list(F.struct("starts", "shift", "n", "other")).alias("matches"))
+    spans = gathered.mapInArrow(_merged(config), "cls binary, start int, stop int, other binary")
     alone = classes.where(F.col("first_id") == F.col("last_id")).select("cls", F.col("first_id").alias("doc_id"))
     others = classes.select(F.col("cls").alias("other"), F.col("first_id").alias("other_id"))
     partial = spans.join(alone, "cls").join(others, "other").select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), "other_id")

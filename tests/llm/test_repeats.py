@@ -52,3 +52,33 @@ def test_kernels():
 
 def test_dirty_rows(dirty, none):
     assert {r.doc_id for r in repeats.find(dirty).collect()} == set() and repeats.find(none).count() == 0
+
+
+def _covered(spark, texts, parts=4):
+    """Words reported and words of windows of 50 that another text has, for each document."""
+    windows = defaultdict(set)
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            windows[tuple(w[j : j + 50])].add(i)
+    want, got = defaultdict(set), defaultdict(set)
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            if len(windows[tuple(w[j : j + 50])]) > 1:
+                want[i].update(range(j, j + 50))
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    for r in repeats.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        assert len(windows[tuple(texts[r.doc_id][r.start_word : r.start_word + 50])]) > 1 and r.other_id != r.doc_id
+    return dict(got), dict(want)
+
+
+def test_passages_several_times_in_one_document(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for i in range(12):
+        p = fresh(120)
+        texts[2 * i] = fresh(15) + p + fresh(20) + p + fresh(15) + (p if i % 2 else [])
+        texts[2 * i + 1] = fresh(30) + p + fresh(10)
+    got, want = _covered(spark, texts)
+    assert got == want and all(len(want[2 * i]) >= 240 for i in range(12))
