@@ -82,3 +82,15 @@ def test_passages_several_times_in_one_document(spark):
         texts[2 * i + 1] = fresh(30) + p + fresh(10)
     got, want = _covered(spark, texts)
     assert got == want and all(len(want[2 * i]) >= 240 for i in range(12))
+
+
+def test_stock_sentences(spark):
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for _ in range(8):
+        s = [fresh(12) for _ in range(5)]
+        for kind in [s[1:]] * 30 + [s[:-1]] * 30 + [s] * 2:  # 48, 48 and 60 words
+            texts[len(texts)] = fresh(8) + sum(kind, []) + fresh(8)
+    got, want = _covered(spark, texts)
+    assert got == want and len(want) == 16 and all(len(w) == 60 for w in want.values())
