@@ -94,3 +94,17 @@ def test_stock_sentences(spark):
             texts[len(texts)] = fresh(8) + sum(kind, []) + fresh(8)
     got, want = _covered(spark, texts)
     assert got == want and len(want) == 16 and all(len(w) == 60 for w in want.values())
+
+
+def test_runs_of_one_word(spark):
+    rnd = random.Random(6)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = {0: ["x"] * 1000 + ["end"], 1: fresh(9) + ["x"] * 1000, 2: ["a", "b"] * 200, 3: ["b"] + ["a", "b"] * 100 + fresh(5)}
+    for _ in range(16):
+        before, after = fresh(30), fresh(30)
+        y = fresh(1)
+        texts[len(texts)] = fresh(5) + before + y * 30 + fresh(5)
+        texts[len(texts)] = fresh(7) + before + y * 60 + after + fresh(3)
+        texts[len(texts)] = fresh(7) + y * 40 + after + fresh(3)
+    got, want = _covered(spark, texts)
+    assert got == want and len(want[0]) == 1000 and len(want) == len(texts)
