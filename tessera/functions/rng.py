@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 _M64, _M128 = (1 << 64) - 1, (1 << 128) - 1
 # Fixed value: the multiplier of the 128-bit linear congruential generator behind PCG64.
 _MULTIPLIER = 0x2360ED051FC65DA44385DF649FCCF645
@@ -66,6 +68,22 @@ class Rng:
             if product & _M64 >= reject:
                 return product >> 64
 
+    def below_many(self, n: int, count: int) -> np.ndarray:
+        """What ``count`` calls of ``below(n)`` give, for ``n`` below 2^32; numpy steps the same generator."""
+        if not 0 < n < 1 << 32:
+            raise ValueError("n must be above zero and below 2^32")
+        bits = np.random.PCG64()
+        bits.state = {"bit_generator": "PCG64", "state": {"state": self.state, "inc": self.increment}, "has_uint32": 0, "uinteger": 0}
+        reject, by, half = np.uint64((1 << 64) % n), np.uint64(n), np.uint64(32)
+        out, missing = [np.zeros(0, np.int64)], count
+        while missing:
+            x = bits.random_raw(missing)
+            x = x[x * by >= reject]
+            out.append((((x >> half) * by + ((x & np.uint64(0xFFFFFFFF)) * by >> half)) >> half).astype(np.int64))
+            missing -= len(x)
+        self.state = bits.state["state"]["state"]
+        return np.concatenate(out)
+
     def normal(self) -> float:
         if self._spare is not None:
             out, self._spare = self._spare, None

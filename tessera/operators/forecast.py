@@ -3,7 +3,8 @@
 A loss table has one numeric column for each model.  The confidence set removes, round by
 round, the worst model of a test of equal losses whose distribution comes from a moving-block
 bootstrap.  Draws are cut into ranges that executors work on; block starts come from one
-PCG64 stream, drawn in order on the driver, so a seed gives one result whatever the cluster.
+PCG64 stream, and each draw gets the stream's state where its starts begin, so a seed gives one
+result whatever the cluster.
 The loss table of a test is bounded by the length of a forecast series (thousands of rows,
 tens of models) and is checked before it is sent.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,7 +85,16 @@ class Result:
 def block_starts(rng: Rng, n: int, block: int, draws: int) -> np.ndarray:
     """Starts of the blocks of each draw, uniform on [0, n - block]."""
     per = -(-n // block)
-    return np.array([[rng.below(n - block + 1) for _ in range(per)] for _ in range(draws)], np.int64)
+    return rng.below_many(n - block + 1, draws * per).reshape(draws, per)
+
+
+def _draw_states(rng: Rng, n: int, block: int, draws: int) -> list[Rng]:
+    """The generator before each of the draws that ``block_starts`` would make in a row; moves ``rng`` past them."""
+    out = []
+    for _ in range(draws):
+        out.append(copy(rng))
+        block_starts(rng, n, block, 1)
+    return out
 
 
 def block_indices(starts: np.ndarray, n: int, block: int) -> np.ndarray:
@@ -124,33 +135,34 @@ def worst_model(t: np.ndarray, pairs: list[tuple[int, int]], m: int, statistic:
     return int(np.argmax(full.max(axis=1)))
 
 
-def _draw_means(d: np.ndarray, starts: np.ndarray, o: Options, resample: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def _draw_means(d: np.ndarray, states: Sequence[Rng], o: Options, resample: bool) -> tuple[np.ndarray, np.ndarray | None]:
     means, variances = [], []
-    for s in starts:
-        x = d[block_indices(s, len(d), o.block)]
+    for state in states:
+        starts = block_starts(copy(state), len(d), o.block, 1)[0]
+        x = d[block_indices(starts, len(d), o.block)]
         means.append(x.mean(axis=0))
         if resample:
             variances.append(_hac_of_mean(x, o.lag(len(d)), o.kernel))
     return np.array(means), np.array(variances) if resample else None
 
 
-def _round(spark: SparkSession | None, d: np.ndarray, starts: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _round(spark: SparkSession | None, d: np.ndarray, states: list[Rng], o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means and bootstrap means (and variances) of one round; on executors if ``spark`` is given."""
     resample = o.variance == "hac_resample"
     if spark is None:
-        means, variances = _draw_means(d, starts, o, resample)
+        means, variances = _draw_means(d, states, o, resample)
     else:
-        sent = spark.sparkContext.broadcast((d, starts))
+        sent = spark.sparkContext.broadcast((d, states))
         width = d.shape[1]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data, plan = sent.value
             for batch in batches:
-                m, v = _draw_means(data, plan[batch["id"].to_numpy()], o, resample)
+                m, v = _draw_means(data, [plan[i] for i in batch["id"]], o, resample)
                 both = np.concatenate([m, v], axis=1) if v is not None else m
                 yield pd.DataFrame({"id": batch["id"].to_numpy(), "x": list(both)})
 
-        rows = spark.range(len(starts)).mapInPandas(run, "id long, x array<double>").orderBy("id").collect()  # one row a draw
+        rows = spark.range(len(states)).mapInPandas(run, "id long, x array<double>").orderBy("id").collect()  # one row a draw
         both = np.array([r.x for r in rows])
         means, variances = both[:, :width], both[:, width:] if resample else None
         sent.destroy()
@@ -185,7 +197,7 @@ def mcs(losses: DataFrame, options: Options = Options(), order_by: str | None =
     alive, p_so_far, order, pvalue, kept = list(range(m)), 0.0, [], [1.0] * m, None
     while len(alive) > 1:
         d, pairs = differentials(x[:, alive], options.statistic)
-        t, stars, _ = _round(spark, d, block_starts(rng, n, options.block, options.draws), options)
+        t, stars, _ = _round(spark, d, _draw_states(rng, n, options.block, options.draws), options)
         observed = float(_reduce(t, options.statistic))
         p = float((_reduce(stars, options.statistic) > observed).mean())
         p_so_far = max(p_so_far, p)

@@ -248,8 +248,8 @@ def _event_losses(t):
 
 
 def _mcs(t):
-    few = _event_losses(t).orderBy("ts").limit(2000)  # a forecast series of bounded length
-    return forecast.mcs(few, forecast.Options(draws=200), order_by="ts").frame(few.sparkSession)
+    losses = _event_losses(t)
+    return forecast.mcs(losses, order_by="ts").frame(losses.sparkSession)
 
 
 def _dm(t):

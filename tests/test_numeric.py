@@ -154,6 +154,37 @@ def test_confidence_set(spark, statistic, variance):
     assert [x.model for x in forecast.in_set(r.frame(spark)).collect()] == ["m0", "m1"] and "converged: yes" in forecast.report(r) and "alpha" in forecast.options_report(o)
 
 
+def test_below_many():
+    for n in (1, 3, 1000, (1 << 32) - 1):
+        a, b = Rng(5), Rng(5)
+        assert a.below_many(n, 50).tolist() == [b.below(n) for _ in range(50)] and a.u64() == b.u64()
+
+
+def test_registered_confidence_set_takes_all_events(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    g = np.random.default_rng(4)
+    value, user = g.normal(0, 6, 2500) + np.where(np.arange(2500) < 2000, 0, 9), g.integers(0, 9, 2500)
+    rows = [(i, float(v), int(u)) for i, (v, u) in enumerate(zip(value, user))]
+    spark.createDataFrame(rows, "ts int, value double, user_id long").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    x, names = np.stack([value * value, abs(value * 3 - user), value * 0 + 40], axis=1), ["a", "b", "c"]
+    rng, alive, p, so_far, kept = Rng(123), [0, 1, 2], [1.0] * 3, 0.0, None
+    while len(alive) > 1:  # blocks of 10, 2000 draws, greatest t of own loss against the others' mean
+        y = x[:, alive]
+        d = np.stack([y[:, i] - np.delete(y, i, 1).mean(axis=1) for i in range(len(alive))], axis=1)
+        stars = np.array([d[[s + k for s in [rng.below(2491) for _ in range(250)] for k in range(10)]].mean(axis=0) for _ in range(2000)]) - d.mean(axis=0)
+        se = np.sqrt((stars**2).mean(axis=0))
+        t = d.mean(axis=0) / se
+        now = ((stars / se).max(axis=1) > t.max()).mean()
+        so_far = max(so_far, now)
+        kept = list(alive) if kept is None and now >= 0.05 else kept
+        out = alive.pop(int(t.argmax()))
+        p[out] = so_far
+    got = {r.model: r for r in catalogue.queries()["mcs_set"](spark, str(tmp_path)).collect()}
+    assert [got[n].mean_loss for n in names] == pytest.approx(x.mean(axis=0)) and [got[n].pvalue for n in names] == pytest.approx(p)
+    assert [got[n].in_set for n in names] == [i in (kept or alive) for i in range(3)]
+
+
 def test_models(spark, tmp_path):
     x, y = np.array([[-1, -1, 1, 1], [-1, 1, -1, 1.0]]), np.array([[-1, 1, 1, -1.0]])
     fit = models.fit(x, y, [2, 4, 1], "tanh", "tanh", epochs=400, optimizer=lambda: models.Adam(rate=0.05), seed=1)
