@@ -3,14 +3,16 @@
 A page is read once, as the events of the standard library's streaming parser.  Block-level
 tags cut the stream into *lines*; each line keeps its text, how many tags it took, how much
 of it is link text, and the container it stands in.  The text-to-tag ratio of the lines is
-smoothed with a Gaussian window and split by a two-means threshold into content and rest.
+smoothed with a Gaussian window and split by a two-means threshold into content and rest;
+lines with much text a tag are content in any case.
 
 Lines of content are then widened to whole regions: a page's region is the ``article`` or
-``main`` element with most of the smoothed content mass if there is one, else the smallest
-container that holds nearly all of the content lines.  Inside the region every line counts,
-however short, unless it stands in a part that is never main text: navigation, header,
-footer, sidebar, form, script, style, or an element whose class, id or role says notice,
-advert, comment, share bar and the like.
+``main`` element with most of the smoothed content mass if there is one, an article together
+with those beside it in the same parent, else the smallest container that holds all of the
+content lines; paragraphs, headings, lists and tables are no containers.  Inside the region
+every line counts, however short and however much of it is link text, unless it stands in a
+part that is never main text: navigation, header, footer, sidebar, form, script, style, or an
+element whose class, id or role says notice, advert, comment, share bar and the like.
 
 Defined results: null and empty pages give an empty text; character references are decoded;
 white space inside a line becomes one space; lines keep page order and are joined by a
@@ -47,7 +49,14 @@ NEVER_WORDS = frozenset(
     " reply share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toc toolbar topbar widget".split()
 )
 NEVER_ROLES = frozenset("banner complementary contentinfo dialog alert alertdialog form menu menubar navigation search toolbar".split())
+#: Blocks that hold a piece of a text: what holds the text is not one of them, nor inside one.
+LEAF_TAGS = frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
+#: Parts of a table hold no text by themselves, but a cell may be the column of a layout.
+TABLE_TAGS = frozenset("caption table tbody tfoot thead tr".split())
 REGION_TAGS = frozenset(("article", "main"))
+#: Characters a tag from which a line is content whatever the others have: two-means splits a
+#: page's lines also where all are text.
+PROSE = 50.0
 #: Headings and header elements inside an article belong to it.
 CLOSES_P = BLOCK_TAGS
 
@@ -71,6 +80,9 @@ class _Events(HTMLParser):
         self.lines: list[_Line] = []
         self.open: list[tuple[str, int, bool, int]] = []  # tag, number, never, region
         self.number = 0
+        self.articles: dict[int, int] = {}  # number of an article: number of what it stands in
+        self.leaves: set[int] = set()  # numbers of LEAF_TAGS
+        self.tables: set[int] = set()  # numbers of TABLE_TAGS
         self.parts: list[str] = []
         self.tags = self.link_chars = self.in_link = 0
 
@@ -102,6 +114,12 @@ class _Events(HTMLParser):
         never, region = (self.open[-1][2], self.open[-1][3]) if self.open else (False, -1)
         if tag in REGION_TAGS and not never:
             region = self.number if region < 0 or tag == "article" else region
+            if tag == "article":
+                self.articles[self.number] = self.open[-1][1] if self.open else 0
+        if tag in LEAF_TAGS:
+            self.leaves.add(self.number)
+        elif tag in TABLE_TAGS:
+            self.tables.add(self.number)
         never = never or self.vetoed(tag, attrs, region)
         if tag == "a":
             self.in_link += 1
@@ -212,7 +230,7 @@ def main_text(html: str | None) -> str:
     ratio = [0.0 if x.never else max(0, x.chars - x.links) / max(1, x.tags) for x in lines]
     level = [math.log1p(v) for v in smoothed(ratio)]
     border = threshold(level)
-    content = [x for x, v in zip(lines, level) if not x.never and v >= border]
+    content = [x for x, v, r in zip(lines, level, ratio) if not x.never and (v >= border or r >= PROSE)]
     content = content or [max(usable, key=lambda x: x.chars)]
     mass: dict[int, float] = {}
     for x, v in zip(lines, level):
@@ -220,17 +238,22 @@ def main_text(html: str | None) -> str:
             mass[x.region] = mass.get(x.region, 0.0) + v * x.chars
     if mass:
         best = max(mass, key=lambda r: (mass[r], -r))
-        return "\n".join(x.text for x in usable if x.region == best or best in x.path)
-    total = sum(x.chars for x in content)
-    held: dict[tuple[int, ...], int] = {}
+        if best in events.articles:  # the articles beside it belong to the page's text too
+            parent = events.articles[best]
+            regions = {r for r, p in events.articles.items() if p == parent}
+        else:
+            regions = {best}
+        return "\n".join(x.text for x in usable if x.region in regions or not regions.isdisjoint(x.path))
+    root = content[0].path
     for x in content:
-        for k in range(len(x.path) + 1):
-            held[x.path[:k]] = held.get(x.path[:k], 0) + x.chars
-    root = max((p for p, n in held.items() if n >= 0.9 * total), key=len)
-    while root and root == content[0].path and len(content) == 1 and len(usable) > 1 and len(root) > 1:
+        while x.path[: len(root)] != root:
+            root = root[:-1]
+    if len(content) == 1 and root:
         root = root[:-1]  # one paragraph alone: its container is the region
-    inside = [x for x in usable if x.path[: len(root)] == root]
-    return "\n".join(x.text for x in inside if x.links <= 0.6 * x.chars)
+    root = root[: next((k for k, n in enumerate(root) if n in events.leaves), len(root))]
+    while root and root[-1] in events.tables:
+        root = root[:-1]
+    return "\n".join(x.text for x in usable if x.path[: len(root)] == root)
 
 
 def extract(pages: DataFrame) -> DataFrame:

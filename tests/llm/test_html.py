@@ -21,6 +21,27 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # one paragraph of over 90 % among ordinary ones, in a div, bare, and in a list
+        (f"<body><div><h1>Title</h1><p>Some words first.</p><p>{LONG * 30}</p><p>And some last.</p><p>Really.</p></div></body>", f"Title\nSome words first.\n{(LONG * 30).strip()}\nAnd some last.\nReally."),
+        (f"<div>{LONG * 9}</div><div>The end.</div>", f"{(LONG * 9).strip()}\nThe end."),
+        (f"<body><ul><li><div>{LONG}</div><li>One<li>Two</ul><p>Three</p></body>", f"{LONG.strip()}\nOne\nTwo\nThree"),
+        # an article in two parts
+        (f"<body><div id=page><div class=body><p>{LONG * 9}</p><p>{LONG * 10}</p></div><div class=more><p>{LONG}</p></div></div></body>", f"{(LONG * 9).strip()}\n{(LONG * 10).strip()}\n{LONG.strip()}"),
+        # linked headings and references
+        (f"<body><div><h2><a href=a>A linked heading</a></h2><p>{LONG}</p><p>{LONG}</p><ul><li><a href=b>First reference</a><li><a href=c>Second</a></ul></div><div class=nav><a>x</a></div></body>", f"A linked heading\n{LONG.strip()}\n{LONG.strip()}\nFirst reference\nSecond"),
+        # sibling articles
+        (f"<body><main><article><p>{LONG * 2}</p></article><article><p>{LONG}</p></article></main></body>", f"{(LONG * 2).strip()}\n{LONG.strip()}"),
+        # a layout of cells
+        (f"<body><table><tr><td><a>Home</a><td><p>{LONG}</p><p>Short.</p><p>{LONG}</p></table></body>", f"{LONG.strip()}\nShort.\n{LONG.strip()}"),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert main_text(html) == text
+
+
 def test_pages_keep_every_paragraph(spark):
     import re
     from html import unescape
