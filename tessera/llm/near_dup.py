@@ -132,8 +132,12 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _describe(config: Config) -> Callable:
-    """Rows (doc_id, text) to (doc_id, n_shingles, cid, sig)."""
+    """Rows (doc_id, text, text_key) to (doc_id, n_shingles, cid, sig, text_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,15 +146,16 @@ def _describe(config: Config) -> Callable:
                 sets = shingle_hashes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], config.shingle)
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full, config.coordinates))
-                cid = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                cid = [_digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(cid, pa.binary()),
                         pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        batch.column(2).slice(first, last - first),
                     ],
-                    ["doc_id", "n_shingles", "cid", "sig"],
+                    ["doc_id", "n_shingles", "cid", "sig", "text_key"],
                 )
 
     return run
@@ -285,14 +290,15 @@ def _group_links(config: Config) -> Callable:
 
 
 def _make_sets(config: Config) -> Callable:
-    """Rows (cid, text) to (cid, body): the full set as bytes."""
+    """Rows (cid, text) to (cid, body): the full set as bytes, where the text is one of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = _base.utf8(batch.column(1))
             for first, last in _base.slices(offsets, 4 * _base.SLICE_BYTES):
                 sets = shingle_hashes(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], config.shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "body"])
+                right = [(c, s.tobytes()) for c, s in zip(batch.column(0).slice(first, last - first).to_pylist(), sets) if _digest(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in right], pa.binary()) for k in (0, 1)], ["cid", "body"])
 
     return run
 
@@ -380,8 +386,14 @@ def _gathered(groups: DataFrame, config: Config) -> DataFrame:
 
 def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
+    return _found(docs, config).drop("text_key")
+
+
+def _found(docs: DataFrame, config: Config) -> DataFrame:
+    """What ``find`` gives, and the hash of the row's text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = docs.select("doc_id", "text").mapInArrow(_describe(config), f"doc_id {kind}, n_shingles long, cid binary, sig binary")
+    described = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    described = described.mapInArrow(_describe(config), f"doc_id {kind}, n_shingles long, cid binary, sig binary, text_key long")
     rows = _base.materialize(described, "shingle-sets")
     full = rows.where(F.col("cid").isNotNull())
     classes = _base.materialize(full.groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("sig").alias("sig")), "classes")
@@ -391,7 +403,7 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     members = _gathered(groups, config)
     needed = _base.materialize(members.select("cid").distinct().join(classes.select("cid", "least_id"), "cid"), "needed")
     texts = docs.select(F.col("doc_id"), "text").join(needed.hint("shuffle_hash"), docs["doc_id"] == needed["least_id"]).select("cid", "text")
-    # A repeated id may bring a text that is not of the class: its digest tells, below.
+    # A repeated id may bring a text that is not of the class: _make_sets drops it by its digest.
     sets = texts.mapInArrow(_make_sets(config), "cid binary, body binary")
     sized = members.join(sets, "cid").select("gid", "cid", "body")
     links = sized.repartition("gid").sortWithinPartitions("gid", "cid").mapInArrow(_group_links(config), "a binary, b binary")
@@ -399,15 +411,16 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     named = classes.select("cid", "least_id").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = _base.materialize(named.join(heads, "root").select(F.col("cid").alias("class"), "component_id"), "components")
-    out = rows.select("doc_id", "n_shingles", "cid").join(named, F.col("cid") == F.col("class"), "left")
+    out = rows.select("doc_id", "n_shingles", "cid", "text_key").join(named, F.col("cid") == F.col("class"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that their component keeps, with their own columns."""
-    gone = _base.materialize(find(docs, config).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = _found(docs, config).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text_key")).distinct()
+    gone = _base.materialize(gone, "near-duplicates")
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__text_key"]), "left_anti")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -87,3 +87,11 @@ def test_dirty_rows(dirty, none):
     assert len(rows) == dirty.count() and near_dup.find(none).count() == 0
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
     assert near_dup.keep_one(dirty).columns == dirty.columns
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(1, b + " end"), (2, a), (2, b), (3, a + " end")], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.find(docs).collect())
+    assert rows == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False)]
+    assert sorted(tuple(r) for r in near_dup.keep_one(docs).collect()) == [(1, b + " end"), (2, a)]
