@@ -10,7 +10,8 @@ nodes branch again by ``branch`` coordinates that the node itself selects from t
 next level, up to ``depth``.  With two branches a level, a pair at similarity 0.8 stays
 together along some path of a tree with a probability of at least 0.9375 at any depth (the
 survival probability of a branching process with two offspring of probability 0.8 each), so
-the default four independent trees miss it with at most 0.0625 ** 4, about 1.5e-5; pairs
+four independent trees would miss it with at most 0.0625 ** 4, about 1.5e-5, but below the root
+all trees choose from the same six coordinates, which adds 0.2 ** 6 or more where nodes branch; pairs
 nearer to each other are missed less.  What is still large at ``depth`` is cut into blocks by hash, and every two
 blocks of the node are compared, so no case is dropped.
 
