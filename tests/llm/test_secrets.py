@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -45,5 +46,56 @@ def test_entropy_and_allow_list():
         assert kinds(f"see {harmless} there") == []
 
 
-def test_dirty_rows(dirty, none):
-    assert secrets.scan(dirty).count() == dirty.count() and secrets.scan(none).count() == 0
+    assert secrets.scan_text("exampleQ7f3kZp9LmX2vB8nR4tYwAq1Zz8")[4] == "entropy_base64:7:34"
+
+
+def _all_spans(text):
+    """All spans by definition: every window by itself, then joined."""
+    base = secrets.base_spans(text)
+    barred = {i for _, a, b in base for i in range(a, b)} | {i for m in secrets.ALLOWED.finditer(text) for i in range(*m.span())}
+    hexes, digits = set("0123456789abcdefABCDEF"), set("0123456789")
+    marks = {"entropy_hex": [], "entropy_base64": []}
+    for i in range(len(text) - 19):
+        window = text[i : i + 20]
+        if not re.fullmatch(r"[A-Za-z0-9+/_=-]+", window) or barred & set(range(i, i + 20)):
+            continue
+        counts = Counter(window)
+        bits = -sum(n / 20 * math.log2(n / 20) for n in counts.values()) + 1e-9
+        if not any(c in digits for c in window) or not any(c.isalpha() for c in window):
+            continue
+        if set(window) <= hexes:
+            if bits >= 3.0:
+                marks["entropy_hex"].append(i)
+        elif bits >= 3.75 and any(c not in hexes for c in window):
+            marks["entropy_base64"].append(i)
+    spans = list(base)
+    for kind, at in marks.items():
+        joined = []
+        for i in at:
+            if joined and i <= joined[-1][1] and not barred & set(range(joined[-1][0], i + 20)):
+                joined[-1][1] = i + 20
+            else:
+                joined.append([i, i + 20])
+        spans += [(kind, a, b) for a, b in joined]
+    return secrets._joined(spans)
+
+
+def test_spans_equal_brute_force(documents):
+    rnd = random.Random(12)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", "aaab1"]
+    pieces = ["example", "123e4567-e89b-12d3-a456-426614174000", "sha256-", "password=", "token: ", "AKIA", " ", "\n", "0123456789", "é", "0" * 32, "xxxxxx"]
+    texts = [r.text for r in documents.limit(60).collect()]
+    for _ in range(400):
+        parts = [rnd.choice(pieces) if rnd.random() < 0.4 else "".join(rnd.choice(a) for _ in range(rnd.randrange(1, 45))) for a in rnd.choices(alphabets, k=6)]
+        texts.append("".join(parts))
+    for t in texts:
+        assert secrets.scan_text(t)[4] == _all_spans(t)
+
+
+def test_dirty_rows(spark, dirty, none):
+    rows = secrets.scan(dirty).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in dirty.collect()) and secrets.scan(none).count() == 0
+    assert all(r.spans == "" for r in rows) and {r.base_sha256 for r in rows} == {secrets.scan_text(None)[3]}
+    large = [(None, "a"), (9007199254740993, "b" * 300_000), (9007199254740993, "token=abcdefgh")]
+    found = secrets.scan(spark.createDataFrame(large, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.n_assign) for r in found] == [(None, 0), (9007199254740993, 0), (9007199254740993, 1)]
