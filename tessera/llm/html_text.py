@@ -2,31 +2,40 @@
 
 A page is read once, as the events of the standard library's streaming parser.  Block-level
 tags cut the stream into *lines*; each line keeps its text, how many tags it took, how much
-of it is link text, and the container it stands in.  The text-to-tag ratio of the lines is
-smoothed with a Gaussian window and split by a two-means threshold into content and rest;
-lines with much text a tag are content in any case.
-
-Lines of content are then widened to whole regions: a page's region is the ``article`` or
-``main`` element with most of the smoothed content mass if there is one, an article together
-with those beside it in the same parent, else the smallest container that holds all of the
-content lines; paragraphs, headings, lists and tables are no containers.  Inside the region
-every line counts, however short and however much of it is link text, unless it stands in a
-part that is never main text: navigation, header, footer, sidebar, form, script, style, or an
-element whose class, id or role says notice, advert, comment, share bar and the like.
+of it is link text, and the container it stands in.  The logarithm of the lines' text-to-tag ratio is
+smoothed with a Gaussian window and split by a two-means threshold into content and rest.
+The border is never above ``PROSE``, since two-means also splits a page that is all text.
+
+Content lines decide which region of the page is its main text: the ``article`` elements, if they
+hold half of the characters of all content lines (the one with most of them, and those beside it
+in the same parent), else the ``main`` element under the same condition, else the smallest
+container that holds all of the content lines; paragraphs, headings, lists and tables are no
+containers.  Inside the region every line counts, however short and however much of it is link
+text, unless it stands in a part that is never main text: navigation, the page's header and
+footer, sidebar, form, script, style, or an element whose class, id or role says notice, advert,
+comment, share bar and the like.  In a region that is no ``article`` or ``main``, lists of links
+before the first content line are a menu.
+
+Elements are numbered as they open, so an element is a range of numbers and lines know their
+innermost block; all steps are linear in the page, however deep it is nested.
 
 Defined results: null and empty pages give an empty text; character references are decoded;
 white space inside a line becomes one space; lines keep page order and are joined by a
-newline; unclosed and misnested tags are tolerated; repeated rows give equal results.
+newline; pages of any length and depth are read whole; unclosed and misnested tags are
+tolerated; repeated rows give equal results; an empty table gives an empty result; null ids and
+urls stay null; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import _base
@@ -53,96 +62,120 @@ NEVER_ROLES = frozenset("banner complementary contentinfo dialog alert alertdial
 LEAF_TAGS = frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
 #: Parts of a table hold no text by themselves, but a cell may be the column of a layout.
 TABLE_TAGS = frozenset("caption table tbody tfoot thead tr".split())
-REGION_TAGS = frozenset(("article", "main"))
-#: Characters a tag from which a line is content whatever the others have: two-means splits a
-#: page's lines also where all are text.
+#: Characters a tag from which a smoothed line is content whatever the others have.
 PROSE = 50.0
-#: Headings and header elements inside an article belong to it.
-CLOSES_P = BLOCK_TAGS
+# Parts of a class name that make another part of it a matter of layout.
+LAYOUT_FIRST = frozenset("has no with without".split())
+LAYOUT_LAST = frozenset("columns container grid layout outer wrap wrapper".split())
+#: Elements of one kind end each other, unless another block stands between them.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
-class _Line:
-    __slots__ = ("chars", "links", "never", "path", "region", "tags", "text")
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    links: int  # characters of link text
+    block: int  # number of the innermost block, 0 outside of all
+    article: int  # number of the outermost article, or 0
+    main: int
+    listed: bool  # in a list
 
-    def __init__(self, text: str, tags: int, links: int, path: tuple[int, ...], never: bool, region: int) -> None:
-        self.text, self.tags, self.links, self.path, self.never, self.region = text, tags, links, path, never, region
-        self.chars = len(text)
+
+class _Open(NamedTuple):
+    tag: str
+    number: int
+    never: bool
+    block: int
+    article: int
+    main: int
+    listed: bool
+    links: int  # links that were open when it began
+
+
+_PAGE = _Open("", 0, False, 0, 0, 0, False, 0)
 
 
 class _Events(HTMLParser):
-    """Turns parser events into lines."""
+    """Turns parser events into lines.  What is never main text leaves none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, number, never, region
-        self.number = 0
-        self.articles: dict[int, int] = {}  # number of an article: number of what it stands in
-        self.leaves: set[int] = set()  # numbers of LEAF_TAGS
-        self.tables: set[int] = set()  # numbers of TABLE_TAGS
+        self.open: list[_Open] = []
+        self.at: dict[str, list[int]] = {}  # places in ``open`` of each tag
+        self.blocks: list[int] = []  # places in ``open`` of blocks
+        self.parent, self.tag_of, self.last = [0], [""], [0]  # by number: block around it, tag, last number inside
         self.parts: list[str] = []
         self.tags = self.link_chars = self.in_link = 0
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            never, region = (self.open[-1][2], self.open[-1][3]) if self.open else (False, -1)
-            path = tuple(n for t, n, _, _ in self.open if t in BLOCK_TAGS)
-            self.lines.append(_Line(text, self.tags, self.link_chars, path, never, region))
+            top = self.open[-1] if self.open else _PAGE
+            self.lines.append(_Line(text, self.tags, self.link_chars, top.block, top.article, top.main, top.listed))
         self.parts, self.tags, self.link_chars = [], 0, 0
 
+    def drop(self, least: int) -> None:
+        """Close what is open from place ``least`` on."""
+        while len(self.open) > least:
+            gone, place = self.open.pop(), len(self.open)
+            self.last[gone.number] = len(self.last) - 1
+            if self.at[gone.tag] and self.at[gone.tag][-1] == place:
+                self.at[gone.tag].pop()
+            if self.blocks and self.blocks[-1] == place:
+                self.blocks.pop()
+                self.in_link = min(self.in_link, gone.links)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK_TAGS
         if block:
             self.cut()
-            if any(t == "p" for t, *_ in self.open[-6:]):  # a block ends an open paragraph, with what is open in it
-                while self.open and self.open[-1][0] != "p" and self.open[-1][0] not in BLOCK_TAGS:
-                    self.open.pop()
-                if self.open and self.open[-1][0] == "p":
-                    self.open.pop()
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
-                self.open.pop()
+            for ends in ("p", *SIBLINGS.get(tag, ())):  # the innermost block, with what is open in it
+                if self.blocks and self.open[self.blocks[-1]].tag == ends:
+                    self.drop(self.blocks[-1])
         elif tag == "br":
             self.parts.append(" ")
-        self.tags += 1
+        self.tags += not (self.open and self.open[-1].never)
         if tag in VOID_TAGS:
             return
-        self.number += 1
-        never, region = (self.open[-1][2], self.open[-1][3]) if self.open else (False, -1)
-        if tag in REGION_TAGS and not never:
-            region = self.number if region < 0 or tag == "article" else region
-            if tag == "article":
-                self.articles[self.number] = self.open[-1][1] if self.open else 0
-        if tag in LEAF_TAGS:
-            self.leaves.add(self.number)
-        elif tag in TABLE_TAGS:
-            self.tables.add(self.number)
-        never = never or self.vetoed(tag, attrs, region)
         if tag == "a":
-            self.in_link += 1
-        self.open.append((tag, self.number, never, region))
+            self.in_link = 1
+        top, number = self.open[-1] if self.open else _PAGE, len(self.parent)
+        article = top.article or (number if tag == "article" else 0)
+        main = top.main or (number if tag == "main" else 0)
+        never = top.never or self.vetoed(tag, attrs, bool(article or main))
+        self.parent.append(top.block)
+        self.tag_of.append(tag)
+        self.last.append(number)
+        self.at.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        listed = top.listed or tag in ("ul", "ol", "dl", "menu")
+        self.open.append(_Open(tag, number, never, number if block else top.block, article, main, listed, self.in_link))
 
     @staticmethod
-    def vetoed(tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
-        if tag in NEVER_TAGS:
+    def vetoed(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+        """Whether an element is never main text.  ``inside``: it belongs to an article or main
+        element, whose header is part of the text."""
+        if tag in NEVER_TAGS and not (tag == "header" and inside):
             return True
         if tag in ("html", "body", "main", "article"):
             return False
         for name, value in attrs:
             if not value:
-                if name in ("hidden",):
+                if name == "hidden":
                     return True
-                continue
-            if name in ("class", "id"):
-                words = set()
+            elif name in ("class", "id"):
                 for token in value.lower().split():
-                    words.update(_NAME.findall(token))
-                    words.add(token)
-                if words & NEVER_WORDS:
-                    return True
+                    parts = _NAME.findall(token) or [""]
+                    found = {token, *parts} & NEVER_WORDS
+                    if parts[0] in LAYOUT_FIRST or (parts[-1] in LAYOUT_LAST and parts[0] not in NEVER_WORDS):
+                        continue
+                    if found and not (inside and found == {"header"}):
+                        return True
             elif name == "role" and value.lower() in NEVER_ROLES:
                 return True
             elif name == "aria-hidden" and value.lower() == "true":
@@ -157,32 +190,33 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK_TAGS:
+        block = tag in BLOCK_TAGS
+        if block:
             self.cut()
-        self.tags += 1
+        self.tags += not (self.open and self.open[-1].never)
         if tag == "br":
             self.parts.append(" ")
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag == "a":
-                    self.in_link = max(0, self.in_link - 1)
-                if tag not in BLOCK_TAGS:
-                    if any(t in BLOCK_TAGS for t, *_ in self.open[i + 1 :]):  # misnested: it ends alone
-                        del self.open[i]
-                        return
-                else:
-                    self.cut()
-                del self.open[i:]
-                return
+        if tag == "a":
+            self.in_link = 0
+        places = self.at.get(tag)
+        if not places:
+            return
+        if not block and self.blocks and self.blocks[-1] > places[-1]:  # misnested: it ends alone
+            places.pop()
+            return
+        self.drop(places[-1])
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
-        if self.in_link:
-            self.link_chars += len(data)
+        if not (self.open and self.open[-1].never):
+            self.parts.append(data)
+            if self.in_link:
+                self.link_chars += len(data)
 
     def finish(self) -> list[_Line]:
         self.close()
         self.cut()
+        self.drop(0)
+        self.last[0] = len(self.last) - 1
         return self.lines
 
 
@@ -224,55 +258,51 @@ def main_text(html: str | None) -> str:
     events = _Events()
     events.feed(html)
     lines = events.finish()
-    usable = [x for x in lines if not x.never]
-    if not usable:
+    if not lines:
         return ""
-    ratio = [0.0 if x.never else max(0, x.chars - x.links) / max(1, x.tags) for x in lines]
-    level = [math.log1p(v) for v in smoothed(ratio)]
-    border = threshold(level)
-    content = [x for x, v, r in zip(lines, level, ratio) if not x.never and (v >= border or r >= PROSE)]
-    content = content or [max(usable, key=lambda x: x.chars)]
-    mass: dict[int, float] = {}
-    for x, v in zip(lines, level):
-        if not x.never and x.region >= 0:
-            mass[x.region] = mass.get(x.region, 0.0) + v * x.chars
-    if mass:
-        best = max(mass, key=lambda r: (mass[r], -r))
-        if best in events.articles:  # the articles beside it belong to the page's text too
-            parent = events.articles[best]
-            regions = {r for r, p in events.articles.items() if p == parent}
-        else:
-            regions = {best}
-        return "\n".join(x.text for x in usable if x.region in regions or not regions.isdisjoint(x.path))
-    root = content[0].path
+    level = smoothed([math.log1p(max(0, len(x.text) - x.links) / max(1, x.tags)) for x in lines])
+    border = min(threshold(level), math.log1p(PROSE))
+    content = [x for x, v in zip(lines, level) if v >= border]
+    content = content or [max(lines, key=lambda x: len(x.text))]
+    articles, mains = Counter(), Counter()
     for x in content:
-        while x.path[: len(root)] != root:
-            root = root[:-1]
-    if len(content) == 1 and root:
-        root = root[:-1]  # one paragraph alone: its container is the region
-    root = root[: next((k for k, n in enumerate(root) if n in events.leaves), len(root))]
-    while root and root[-1] in events.tables:
-        root = root[:-1]
-    return "\n".join(x.text for x in usable if x.path[: len(root)] == root)
+        articles[x.article] += len(x.text)
+        mains[x.main] += len(x.text)
+    half = sum(articles.values()) / 2
+    del articles[0], mains[0]
+    if articles and articles.total() >= half:
+        parent = events.parent[articles.most_common(1)[0][0]]  # of equal ones the first
+        return "\n".join(x.text for x in lines if x.article and events.parent[x.article] == parent)
+    if mains and mains.total() >= half:
+        return "\n".join(x.text for x in lines if x.main)
+    root, last = min(x.block for x in content), max(x.block for x in content)
+    if len(content) == 1:
+        root = events.parent[root]  # one paragraph alone: its container is the region
+    while events.last[root] < last:
+        root = events.parent[root]
+    outer, place = root, root
+    while place:  # no piece of a text, and nothing inside one, is a container
+        if events.tag_of[place] in LEAF_TAGS:
+            outer = events.parent[place]
+        place = events.parent[place]
+    while events.tag_of[outer] in TABLE_TAGS:
+        outer = events.parent[outer]
+    inside = [x for x in lines if outer <= x.block <= events.last[outer]]
+    first = inside.index(content[0])
+    return "\n".join(x.text for k, x in enumerate(inside) if k >= first or not (x.listed and x.links >= 0.9 * len(x.text)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(h) for h in batch["html"]]
-            yield pd.DataFrame(
-                {
-                    "page_id": batch["page_id"].to_numpy(),
-                    "url": batch["url"].to_numpy(),
-                    "text": text,
-                    "n_chars": [len(t) for t in text],
-                }
-            )
+            text = [main_text(h.as_py()) for h in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:

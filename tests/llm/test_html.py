@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from tessera.llm import html_text
 from tessera.llm.html_text import extract, main_text, smoothed, threshold
 
 LONG = "This is a sentence of the article that has enough words to look like text. " * 4
@@ -59,6 +62,48 @@ def test_smoothing_and_threshold():
     assert 3 < threshold([1, 2, 1, 30, 29]) < 29
 
 
+SHORT = "".join(f"<div><a href=x{i}>Link {i}</a> of <a>that</a></div>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # unmarked boilerplate around the text: only the ratios tell
+        (f"<body><div>{SHORT}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{SHORT}</div></body>", f"{LONG.strip()}\n{LONG.strip()}"),
+        # an article that is a teaser beside the text
+        (f"<body><article><a>More</a> <b>news</b></article>{SHORT}<div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\n{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_ratios_choose_the_region(html, text, monkeypatch):
+    assert main_text(html) == text
+    monkeypatch.setattr(html_text, "smoothed", lambda values: [0.0] * len(values))
+    assert main_text(html) != text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class=content-sidebar-wrap><div class='has-sidebar'><article><p>{LONG}</p></article></div></div><div class=main-nav>x</div>", LONG.strip()),
+        (f"<header>Site</header><article><header class=article-header><h1>Title</h1></header><p>{LONG}</p><footer>f</footer></article>", f"Title\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p><a href=a>Only a link</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\nOnly a link\n{LONG.strip()}"),
+        (f"<div><ul><li><a>Home</a><li><a>News</a></ul><h2>T</h2><p>{LONG}</p><p>{LONG}</p></div>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<article><p>One <a href=x>two</p><p>{LONG}<b>x</div></b> y</p></article>", f"One two\n{LONG.strip()} x\ny"),
+    ],
+)
+def test_markup(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20_000, "<div><b>" * 10_000 + "</b>" * 10_000 + "t", "<b>" * 10_000 + "<div>" * 10_000 + "</b>" * 10_000 + "t", "<p>" * 20_000 + "</i>" * 20_000, "<article><ul><li>a" * 7000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert main_text(page) or page.startswith("<p>")
+    assert time.process_time() - began < 2
+
+
 def test_dirty_rows(spark):
-    pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (2, "u", "<" * 50_000), (2, "u", "<b>" * 3000 + "t")], "page_id long, url string, html string")
-    assert extract(pages).count() == 4 and extract(pages.limit(0)).count() == 0
+    rows = [(1, None, None, 1), (None, "u", "<p>x</p>", 2), (9007199254740993, "u", "<" * 50_000, 3), (9007199254740993, "u", "<b>" * 3000 + "t" * 200_000, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int").withColumnRenamed("text", "n_chars").coalesce(1)
+    got = [(r.page_id, r.url, r.n_chars) for r in extract(pages).collect()]
+    assert got == [(1, None, 0), (None, "u", 1), (9007199254740993, "u", 50_000), (9007199254740993, "u", 200_000)]
+    assert extract(pages.limit(0)).count() == 0
