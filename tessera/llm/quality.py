@@ -1,14 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors, one for each hashed word, each hashed pair
-of neighbouring words and each hashed byte n-gram (n = 3, 4) in it; a softmax over that average gives the class.  The vectors
+of neighbouring words and each hashed character n-gram (n = 3, 4 code points) in it; a softmax over that average gives the class.  The vectors
 and the output layer are trained together by plain stochastic gradient descent in numpy on
-the driver, on a bounded sample of labelled rows (``Config.max_train_docs``).
+the driver, on a bounded sample of labelled rows (``Config.max_train_docs`` rows and
+``Config.max_train_bytes`` bytes in all, whole texts of any length).
 
 Scoring needs no vectors: because the average and the output layer are both linear, each
 bucket's contribution to the difference of the two logits is one number.  A trained model
 is therefore a table of ``2 ** bits`` floats, and a document's score is the mean of table
-look-ups, computed on Arrow's own byte buffers without making a Python string.
+look-ups, computed on the code points of Arrow's buffers without a Python string a row.
 
 Defined results: null and empty texts score the class prior that the bias learned; texts
 of any length are read whole; repeated rows get equal scores; an empty table gives an
@@ -37,29 +38,32 @@ class Config:
     epochs: int = 5
     rate: float = 15.0
     seed: int = 7
-    #: Bound of the sample that the model is fitted on: rows, and bytes of a row.
+    #: Bound of the sample that the model is fitted on: rows, and bytes of all rows together.
     max_train_docs: int = 4000
-    max_train_bytes: int = 32_768
+    max_train_bytes: int = 32 << 20
     threshold: float = 0.7
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.full(256, 0x9E3779B97F4A7C15, np.uint64)
 _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
-def _gram_buckets(raw: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
-    """For n = 3 and 4: the bucket of the n-gram at each position."""
-    b = raw.astype(np.uint32)
-    out = []
-    if len(b) >= 3:
-        three = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
-        out.append((3, (three * np.uint32(2654435761)) >> np.uint32(32 - bits)))
-    if len(b) >= 4:
-        four = three[:-1] | (b[3:] << np.uint32(24))
-        out.append((4, (four * np.uint32(2246822519)) >> np.uint32(32 - bits)))
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and the offsets of the texts in them."""
+    starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32), starts[offsets]
+
+
+def _gram_buckets(chars: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """For n = 3 and 4: the bucket of the n-gram of characters at each position."""
+    out, mixed = [], chars * np.uint32(0x9E3779B1)
+    for n, odd in ((2, 0x85EBCA6B), (3, 0xC2B2AE35), (4, 0x27D4EB2F)):
+        if len(chars) < n:
+            break
+        mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint32(15))) * np.uint32(odd) + chars[n - 1 :] * np.uint32(0x9E3779B1)
+        if n > 2:
+            out.append((n, (mixed * np.uint32(2654435761)) >> np.uint32(32 - bits)))
     return out
 
 
@@ -67,7 +71,7 @@ def _word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Start of each word and its 64-bit hash.  ``ends``: document ends, which end a word too."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    solid = ~_IS_SPACE[raw]
+    solid = (raw != 32) & ((raw < 9) | (raw > 13))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = ends[(ends > 0) & (ends < len(raw))]
@@ -96,6 +100,7 @@ def _word_buckets(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
 
 def features(raw: np.ndarray, bits: int) -> np.ndarray:
     """All buckets of one document, with repeats."""
+    raw = code_points(raw, np.array([0, len(raw)]))[0]
     parts = [x for _, x in _gram_buckets(raw, bits)]
     parts += _word_buckets(_word_hashes(raw, np.zeros(0, np.int64))[1], bits)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -106,8 +111,7 @@ def document_means(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> n
     bits = int(len(table)).bit_length() - 1
     out = np.zeros(len(offsets) - 1)
     for first, last in _base.slices(offsets):
-        at = offsets[first : last + 1] - offsets[first]
-        piece = raw[offsets[first] : offsets[last]]
+        piece, at = code_points(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         start, end = at[:-1], at[1:]
         total, count = np.zeros(last - first), np.zeros(last - first)
         for n, bucket in _gram_buckets(piece, bits):
@@ -172,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     """Train on at most ``max_train_docs`` labelled rows outside the held-out quarter.
 
     The rows are the first in the order of a hash of the id, so that any part of the
-    corpus is as likely to be picked.  What reaches the driver is bounded by
-    ``max_train_docs * max_train_bytes`` at any input size.
+    corpus is as likely to be picked, as many as ``max_train_bytes`` holds; one that does not
+    fit is passed over.  First their lengths reach the driver, then their texts, so both are
+    bounded at any input size.
     """
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of_id(F.col("doc_id")) != 2))
@@ -182,15 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(config.max_train_docs)
     )
-    rows = (
-        docs.select(F.col("doc_id"), F.col("text"))
-        .where(F.octet_length("text").between(1, config.max_train_bytes))
-        .join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-        .select(F.encode("text", "utf-8").alias("body"), "label")
-        .orderBy(F.xxhash64("label_id"), "label_id", "body")
-        .limit(config.max_train_docs)
-        .collect()
-    )
+    named = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    row = F.concat(F.col("label_id").cast("string"), F.lit(" "), F.col("text"))
+    named = named.select("label_id", "label", "text", F.md5(row.cast("binary")).alias("key"), F.octet_length("text").alias("size"))
+    sizes = named.select("label_id", "key", "size").orderBy(F.xxhash64("label_id"), "label_id", "key").limit(config.max_train_docs).collect()
+    chosen, left = [], config.max_train_bytes
+    for r in sizes:
+        if r.size <= left:
+            chosen.append(r.key)
+            left -= r.size
+    rows = named.where(F.col("key").isin(chosen)).dropDuplicates(["key"]).select("label", "key", F.encode("text", "utf-8").alias("body")).collect()
+    rows.sort(key=lambda r: r.key)
     if not rows:
         return Model(np.zeros(1 << config.bits, np.float32), 0.0)
     return train([bytes(r.body) for r in rows], [int(r.label) for r in rows], config)
