@@ -1,13 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A document holds a test item if at least ``threshold`` of the item's distinct word shingles
-are among the document's.  The search side is the short one: items are partitioned by the
-size of their shingle set, and each keeps the ``sketch`` shingles with the smallest hashes
-(all of them, if it has no more).  Any one of these is in a document with the probability of
-the containment itself, however long the document, so a document is probed with every
-shingle it has, and is a candidate once it hits the number of sketch hashes that its size
-partition asks for.  At containment 0.8 and 16 hashes, fewer than 4 hits have a probability
-of about 3e-8; items of up to 16 shingles are searched exactly.
+are among the document's.  The search side is the short one: items are partitioned by the size
+of their shingle set, by powers of two.  Each keeps the shingles with the smallest hashes (its
+bottom sketch): ``sketch`` of them (all, if it has no more) in the first partitions, and
+``growth`` more with each partition after.  Any one of these is in a document with the
+probability of the containment itself, however long the document, so a document is probed with
+every shingle it has.
+
+A partition has two conditions of its own.  A document with fewer shingles than ``threshold``
+times the partition's smallest item cannot hold any of its items.  And a candidate must hit a
+number of sketch hashes that is computed from the hypergeometric distribution of the
+partition's sizes: the most that an item at the threshold misses with a probability of at most
+``miss``.  Items that keep all of their hashes are searched exactly.
 
 Candidates are then verified with the shingles themselves (strings, not hashes): the number
 of the item's distinct shingles that occur in the whole document.
@@ -17,13 +22,16 @@ small: its size is that of a written table, so Spark broadcasts it only below it
 threshold and shuffles both sides otherwise.  All of it is DataFrame functions.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lowered; a text of
-fewer than ``shingle`` words is one shingle, its whole sequence; null and empty texts and
-items match nothing; repeated rows are reported once (results are pairs of ids); an empty
-table on either side gives an empty result.
+fewer than ``shingle`` words is one shingle, its whole sequence; texts of any length are read
+whole; null and empty texts and items match nothing; an item id with several texts is the item
+of all their shingles; repeated rows are reported once (results are pairs of ids), and of the
+different texts of one document id the one that holds most of an item counts; an empty table on
+either side gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +45,32 @@ class Config:
     shingle: int = 5
     threshold: float = 0.8
     sketch: int = 16
+    growth: int = 4
+    miss: float = 1e-6
+    #: Items of more than two to this power of shingles share a partition.
+    most_classes: int = 20
+
+    def kept(self, size_class: int, size: int) -> int:
+        """Hashes that an item of ``size`` shingles in the partition keeps."""
+        return min(size, self.sketch + self.growth * max(0, size_class - 4))
+
+    def hits(self, size_class: int) -> int:
+        """Sketch hashes that a document must hit, for the worst size of the partition."""
+        sizes = sorted({(1 << size_class >> 1) + 1, 1 << size_class} | set(range((1 << size_class >> 1) + 1, min(1 << size_class, 256) + 1)))
+        return min(self._hits(n, self.kept(size_class, n)) for n in sizes)
+
+    def _hits(self, n: int, k: int) -> int:
+        m = math.ceil(self.threshold * n - 1e-9)  # shingles of the item that a match has at least
+        if k == n:
+            return m
+        log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        missed, h = 0.0, 0
+        while True:  # P(at most h of the k sampled are among the m)
+            if h <= m and k - h <= n - m:
+                missed += math.exp(log(m, h) + log(n - m, k - h) - log(n, k))
+            if missed > self.miss:
+                return max(1, h)
+            h += 1
 
 
 def _starts(words: Column, k: int) -> Column:
@@ -60,17 +94,21 @@ def _worded(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def sketches(items: DataFrame, config: Config = Config()) -> DataFrame:
-    """Written table (hash, item_id, hits): the smallest hashes of each item's set.
-
-    ``hits`` is what a document must reach: a quarter of the hashes kept, rounded up.  Sets
-    are partitioned by size class (a power of two), and the class decides how many are kept.
-    """
-    hashed = _worded(items.where(F.col("item_id").isNotNull()), ["item_id"]).select("item_id", F.array_sort(F.array_distinct(_hashes(F.col("words"), config.shingle))).alias("h"))
-    classed = hashed.withColumn("size_class", F.ceil(F.log2(F.greatest(F.size("h"), F.lit(1)).cast("double"))).cast("int"))
-    kept = F.least(F.pow(F.lit(2.0), F.col("size_class")).cast("int"), F.lit(config.sketch))
-    small = classed.withColumn("h", F.slice("h", F.lit(1), F.greatest(kept, F.lit(1))))
-    table = small.select(F.explode("h").alias("hash"), "item_id", F.ceil(F.size("h") / 4).cast("int").alias("hits"))
-    return _base.materialize(table, "item-sketches")
+    """Written table (hash, item_id, hits, least): the smallest hashes of each item's set, the
+    hashes that a document must hit, and the shingles that it must have."""
+    worded = _worded(items.where(F.col("item_id").isNotNull()), ["item_id"]).select("item_id", F.explode(_hashes(F.col("words"), config.shingle)).alias("hash"))
+    hashed = worded.groupBy("item_id").agg(F.array_sort(F.collect_set("hash")).alias("h"))
+    bits = F.when(F.size("h") > 1, F.length(F.bin(F.size("h") - 1))).otherwise(0)  # log2, rounded up
+    size_class = F.least(bits, F.lit(config.most_classes)).cast("int")
+    classed = hashed.withColumn("size_class", size_class)
+    classes = range(config.most_classes + 1)
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("size_class") + 1)
+    kept = F.least(of([config.kept(c, 1 << 62) for c in classes]), F.size("h"))
+    least = of([math.ceil(config.threshold * ((1 << c >> 1) + 1) - 1e-9) for c in classes])
+    exact = F.ceil(F.size("h") * F.lit(config.threshold) - 1e-9).cast("int")
+    hits = F.when(kept == F.size("h"), exact).otherwise(of([config.hits(c) for c in classes]))
+    small = classed.select("item_id", F.explode(F.slice("h", F.lit(1), kept)).alias("hash"), hits.alias("hits"), least.alias("least"))
+    return _base.materialize(small.select("hash", "item_id", "hits", "least"), "item-sketches")
 
 
 def candidates(docs: DataFrame, sketch: DataFrame, config: Config = Config()) -> DataFrame:
@@ -78,14 +116,21 @@ def candidates(docs: DataFrame, sketch: DataFrame, config: Config = Config()) ->
     probes = (
         _worded(docs, ["doc_id", F.xxhash64("text").alias("text_hash")])
         .select("doc_id", "text_hash", _hashes(F.col("words"), config.shingle).alias("h"))
-        .select("doc_id", "text_hash", F.explode("h").alias("hash"))
+        .select("doc_id", "text_hash", F.size("h").alias("size"), F.explode("h").alias("hash"))
     )
-    hit = probes.join(sketch, "hash").groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("hash").alias("n"), F.max("hits").alias("hits"))
+    hit = probes.join(sketch, "hash").where(F.col("size") >= F.col("least"))
+    hit = hit.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("hash").alias("n"), F.max("hits").alias("hits"))
     return _base.materialize(hit.where(F.col("n") >= F.col("hits")).select("doc_id", "text_hash", "item_id"), "decontamination-candidates")
 
 
 def find(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
     """Pairs doc_id, item_id, n_item, n_shared, containment at or above the threshold."""
+    found = _found(docs, items, config)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
+
+
+def _found(docs: DataFrame, items: DataFrame, config: Config) -> DataFrame:
+    """As ``find``, for each text of a document, with ``text_hash``."""
     sketch = sketches(items, config)
     pairs = candidates(docs, sketch, config)
     k = config.shingle
@@ -105,14 +150,14 @@ def find(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFr
         .agg(F.count_distinct("s").alias("n_shared"))
     )
     done = shared.join(n_item, "item_id").withColumn("containment", F.col("n_shared") / F.col("n_item"))
-    done = done.where(F.col("containment") >= config.threshold)
-    return done.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
+    return done.where(F.col("containment") >= config.threshold)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns."""
-    dirty = _base.materialize(find(docs, items, config).select(F.col("doc_id").alias("__dirty")).distinct(), "contaminated")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+    dirty = _found(docs, items, config).select(F.col("doc_id").alias("__dirty"), F.col("text_hash").alias("__text_hash")).distinct()
+    dirty = _base.materialize(dirty, "contaminated")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]) & (F.xxhash64(docs["text"]) == dirty["__text_hash"]), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -122,8 +167,8 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 def _shingle_sql(table: str, key: str) -> str:
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
-    SELECT DISTINCT {key}, s FROM (
-      SELECT {key}, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s
+    SELECT DISTINCT {key}, r, s FROM (
+      SELECT {key}, r, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s
       FROM (SELECT {key}, r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i, len(w) AS n
             FROM (SELECT {key}, row_number() OVER () AS r, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM {table}))
       WINDOW o AS (PARTITION BY r ORDER BY i))
@@ -132,9 +177,10 @@ def _shingle_sql(table: str, key: str) -> str:
 
 OP10_SQL = f"""
 WITH ds AS ({_shingle_sql("documents", "doc_id")}),
-its AS ({_shingle_sql("benchmark", "item_id")}),
+its AS (SELECT DISTINCT item_id, s FROM ({_shingle_sql("benchmark", "item_id")})),
 n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id),
-h AS (SELECT ds.doc_id, its.item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY 1, 2)
+t AS (SELECT ds.doc_id, ds.r, its.item_id, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY 1, 2, 3),
+h AS (SELECT doc_id, item_id, max(n_shared) AS n_shared FROM t GROUP BY 1, 2)
 SELECT h.doc_id, h.item_id, n.n_item, h.n_shared, h.n_shared::DOUBLE / n.n_item AS containment
 FROM h JOIN n USING (item_id) WHERE h.n_shared::DOUBLE / n.n_item >= 0.8
 """
