@@ -3,17 +3,17 @@
 Documents become sets of word shingles (64-bit hashes).  Equal sets are one *class*; all
 that follows works on classes, so thousands of exact copies cost one row.
 
-*Paths.*  Each class has a signature of ``coordinates`` minwise values.  A tree starts with
-``branch`` coordinates; a node is a (path, coordinate, value) and holds the classes that have
-that value.  Nodes of one class end.  Nodes of at most ``small`` classes are leaves.  Larger
-nodes branch again by ``branch`` coordinates that the node itself selects from those of the
-next level, up to ``depth``.  With two branches a level, a pair at similarity 0.8 stays
-together along some path of a tree with a probability of at least 0.9375 at any depth (the
-survival probability of a branching process with two offspring of probability 0.8 each), so
-four independent trees would miss it with at most 0.0625 ** 4, about 1.5e-5, but below the root
-all trees choose from the same six coordinates, which adds 0.2 ** 6 or more where nodes branch; pairs
-nearer to each other are missed less.  What is still large at ``depth`` is cut into blocks by hash, and every two
-blocks of the node are compared, so no case is dropped.
+*Paths.*  Each class has a signature of minwise values, ``Config.coordinates`` in all.  A tree
+starts with ``branch`` coordinates; a node is a (path, coordinate, value) and holds the classes
+that have that value.  Nodes of one class end.  Nodes of at most ``small`` classes are leaves.
+Larger nodes branch again by ``branch`` coordinates that the node itself selects from the
+``level_choice`` that its tree has for the next level, up to ``depth``.  Every tree has
+coordinates of its own on every level, so trees are independent.  With two branches a level, a
+pair at similarity 0.8 that shares large nodes all the way down is missed by one tree with a
+probability of 0.083, and by four trees with about 4.7e-5 (simulated, ``tests/llm``); pairs that
+meet in a leaf before, or are nearer to each other, are missed less.  The comparison of
+signatures adds less than 1e-7.  What is still large at ``depth`` is cut into blocks by hash,
+and every two blocks of the node are compared, so no case is dropped.
 
 *Leaves.*  Signatures of a leaf are compared exhaustively, and the connected parts of "at
 least ``agree`` equal coordinates" go on as one group each.  Groups that overlap are joined up
@@ -25,12 +25,15 @@ large-star/small-star steps.
 Defined results: words are maximal runs without ASCII white space, with A-Z lowered; a text
 of fewer words than a shingle is one shingle, its whole sequence; texts without words and
 null texts have the empty set, link with nothing and are kept; repeated rows share a class;
-rows with a null id get a null component and are kept; an empty table gives an empty result.
+texts of any length are read whole; rows of one id with different texts are judged each by
+itself; rows with a null id get a null component and are kept; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -48,16 +51,24 @@ class Config:
     #: Similarity threshold as a fraction: intersection * below >= union * above.
     above: int = 80
     below: int = 100
-    coordinates: int = 32
     trees: int = 4
     branch: int = 2
     small: int = 2048
     depth: int = 5
-    level_choice: int = 6
-    agree: int = 16
+    level_choice: int = 4
+    #: Share of equal coordinates from which two signatures are candidates.
+    agreeing: float = 0.5
     #: Candidates that hang together are compared in one task up to this many classes.
     together: int = 4096
 
+    @property
+    def coordinates(self) -> int:
+        return self.trees * (self.branch + (self.depth - 1) * self.level_choice)
+
+    @property
+    def agree(self) -> int:
+        return math.ceil(self.agreeing * self.coordinates)
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -309,7 +320,7 @@ def _leaves(classes: DataFrame, config: Config) -> DataFrame:
     value = lambda at: F.substring("sig", at * 8 + 1, F.lit(8))
     roots = config.trees * config.branch
     nodes = F.array(*[F.xxhash64(F.lit(t // config.branch), F.lit(t), value(F.lit(t))) for t in range(roots)])
-    level = classes.select("cid", F.explode(nodes).alias("node"))
+    level = classes.select("cid", F.posexplode(nodes).alias("at", "node")).select("cid", F.floor(F.col("at") / config.branch).cast("int").alias("tree"), "node")
     leaves: DataFrame | None = None
     for depth in range(1, config.depth + 1):
         level = _base.materialize(level, f"nodes-{depth}")
@@ -322,17 +333,16 @@ def _leaves(classes: DataFrame, config: Config) -> DataFrame:
             return leaves
         if depth == config.depth:
             return leaves.unionByName(_block_pairs(large, config))
-        # The node selects `branch` different coordinates of those that this level chooses from.
-        width = config.level_choice
-        base = roots + (depth - 1) * width
-        span = max(1, min(width, config.coordinates - base))
+        # The node selects `branch` different coordinates of those that its tree has on this level.
+        span = config.level_choice
+        base = roots + ((depth - 1) * config.trees + F.col("tree")) * span
         pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(span))
-        step = 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(max(1, span - 1)))
+        step = 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(span - 1))
         chosen = F.explode(F.array(*[(F.pmod(pick + b * step, F.lit(span)) + base).cast("int") for b in range(config.branch)]))
         level = (
-            large.select("node", "cid", chosen.alias("at"))
+            large.select("node", "cid", "tree", chosen.alias("at"))
             .join(classes.select("cid", "sig"), "cid")
-            .select("cid", F.xxhash64("node", "at", F.substring(F.col("sig"), F.col("at") * 8 + 1, F.lit(8))).alias("node"))
+            .select("cid", "tree", F.xxhash64("node", "at", F.substring(F.col("sig"), F.col("at") * 8 + 1, F.lit(8))).alias("node"))
         )
     return leaves
 

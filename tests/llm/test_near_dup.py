@@ -95,3 +95,17 @@ def test_one_id_with_two_texts(spark):
     rows = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.find(docs).collect())
     assert rows == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False)]
     assert sorted(tuple(r) for r in near_dup.keep_one(docs).collect()) == [(1, b + " end"), (2, a)]
+
+
+def test_miss_probability_of_trees():
+    config, rng, pairs = near_dup.Config(), np.random.default_rng(2), 200_000
+    agrees = lambda n: rng.random((pairs, n)) < 0.8
+    alive = [agrees(1)[:, 0] for _ in range(config.branch)]
+    for _ in range(config.depth - 1):
+        at, rows, following = agrees(config.level_choice), np.arange(pairs), []
+        for node in alive:
+            pick, step = rng.integers(0, config.level_choice, pairs), rng.integers(1, config.level_choice, pairs)
+            following += [node & at[rows, (pick + b * step) % config.level_choice] for b in range(config.branch)]
+        alive = following
+    missed = 1 - np.logical_or.reduce(alive).mean()
+    assert missed < 0.086 and missed**config.trees < 5.5e-5
