@@ -7,9 +7,12 @@ store that Spark can write.  The numbers of the result are computed from the fil
 
 Encoding: a byte-level BPE works on each pre-token by itself, and where white space comes
 one character at a time, a pre-token begins at every space and on both sides of a newline.
-So a text may be cut there and each piece encoded once: a bounded per-worker table keeps the
-ids of pieces already seen, and the tokenizer's model only ever sees new ones.  Texts with the
+So a text may be cut there and each piece encoded once: a per-worker table keeps the ids of
+pieces already seen, and the tokenizer's model only ever sees new ones.  Texts with the
 vocabulary's special strings, or with longer runs of white space, go to the tokenizer whole.
+The table has two generations and one budget in bytes (``Config.cache_bytes``): when the young
+one has half of it, it becomes the old one, and what is used again moves back, so frequent
+pieces stay and a worker's memory does not grow with the vocabulary of the corpus.
 
 Defined results: a null or empty text is the end id alone; documents with equal ids keep a
 fixed order (by text); a null id sorts first; any length is encoded whole; an empty table
@@ -39,8 +42,10 @@ class Config:
     end_id: int = 0
     bits: int = 16
     shard_tokens: int = 1 << 21
-    #: Pieces whose ids a worker remembers (about 300 bytes each).
-    cached_pieces: int = 1_600_000
+    #: Memory that a worker's table of known pieces may take, about.
+    cache_bytes: int = 96 << 20
+    #: Characters of text that are encoded in one go; a longer text comes alone and whole.
+    slice_chars: int = 2_000_000
 
 
 _TRICKY = re.compile(r"\s\s")
@@ -57,6 +62,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: Bytes that an entry of the table takes besides its characters and ids: two objects and a slot.
+_ENTRY = 190
 
 
 class Encoder:
@@ -72,6 +79,7 @@ class Encoder:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -84,41 +92,54 @@ class Encoder:
         )
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.most, self.seen, self.words = most, {}, {}
+        self.most, self.held, self.seen, self.old = most, 0, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces.  Those of common scripts are cut into pre-tokens here, and the BPE
-        model sees each new pre-token once; the others go through the whole tokenizer."""
-        odd, model = [], self.tokenizer.model
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.seen.get(word) or self.old.get(word)
+        if ids is None:
+            spelt = word.replace(" ", _LETTERS[0x20]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces.  Those of common scripts are cut into pre-tokens here, and go to
+        the BPE model one by one; the others go through the whole tokenizer."""
+        known, ids, odd = [], [], []
         for p in pieces:
-            if p and max(p) < "\u0590":
-                found = []
-                for word in _PRE_TOKEN.findall(p):
-                    ids = self.words.get(word)
-                    if ids is None:
-                        spelt = word.encode().decode("latin-1").translate(_LETTERS)
-                        ids = self.words[word] = array(self.code, [t.id for t in model.tokenize(spelt)]).tobytes()
-                    found.append(ids)
-                self.seen[p] = found[0] if len(found) == 1 else b"".join(found)
-            else:
+            if not p or not (p.isascii() or max(p) < "\u0590"):
                 odd.append(p)
-        self.seen.update(zip(odd, self._whole(odd), strict=True))
+                continue
+            known.append(p)
+            core = p[1:] if p[0] == " " else p
+            if core.isalpha():
+                ids.append(self._word(p))
+            elif core[:-1].isalpha() and core[-1] in ".,;:!?":
+                ids.append(self._word(p[:-1]) + self._word(p[-1]))
+            else:
+                ids.append(b"".join([self._word(w) for w in _PRE_TOKEN.findall(p)]))
+        known += odd
+        ids += self._whole(odd)
+        self.held += _ENTRY * len(known) + 2 * sum(map(len, known)) + sum(map(len, ids))
+        self.seen.update(zip(known, ids, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str] | None] = []
         for t in texts:
             plain = self.splits and "\0" not in t and not _TRICKY.search(t) and not any(s in t for s in self.special)
             pieces.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else None)
-        wanted = set().union(*[cut for cut in pieces if cut])
-        new = wanted.difference(self.seen)
-        if len(self.seen) + len(new) > self.most:
-            self.seen, new = {}, wanted
-            if len(self.words) > self.most // 2:
-                self.words = {}
-        self._learn(list(new))
+        if self.held > self.most // 2:
+            self.held, self.seen, self.old = 0, {}, self.seen
+        new = set().union(*[cut for cut in pieces if cut]).difference(self.seen)
+        if self.old:
+            again = new.intersection(self.old)
+            self.seen.update((p, self.old[p]) for p in again)
+            self.held += (_ENTRY + 32) * len(again)
+            new -= again
+        self._learn(new)
         whole = iter(self._whole([t for t, cut in zip(texts, pieces, strict=True) if cut is None]))
         get = self.seen.__getitem__
         return [next(whole) if cut is None else b"".join(map(get, cut)) for cut in pieces]
@@ -128,7 +149,7 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(config: Config) -> Encoder:
-    key = (config.tokenizer, config.cached_pieces)
+    key = (config.tokenizer, config.cache_bytes)
     if key not in _encoders:
         import os
 
@@ -161,8 +182,9 @@ def write_shards(docs: DataFrame, config: Config = Config()) -> DataFrame:
             return row
 
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.iloc[at : at + 1024]
+            ends = np.concatenate([[0], batch["text"].str.len().cumsum()]).astype(np.int64)
+            for first, last in _base.slices(ends, config.slice_chars):
+                some = batch.iloc[first:last]
                 for i, n, b in zip(some["id"], some["no_id"], encoder(config).encode(some["text"].tolist()), strict=True):
                     ids.append(i)
                     null.append(n)
