@@ -259,6 +259,11 @@ def _matches(pieces: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """Per document and passage: doc_id, start_word, end_word, n_words, other_id."""
+    with _base.scratch(docs.sparkSession):
+        return _base.materialize(_found(docs, config), "repeats", keep=1)
+
+
+def _found(docs: DataFrame, config: Config) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     texts = texts.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("cls"), "text")
@@ -268,6 +273,8 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
     classes = _base.materialize(classes, "text-classes")
     keyed = rows.where(F.col("key").isNotNull()).select("key", "cls", "pos")
     shared = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where(F.col("a") != F.col("b")).select("key")
+    # Written, so that the join below reads two exchanges and a hot key's rows can be split.
+    shared = _base.materialize(shared, "shared-keys")
     places = keyed.join(shared, "key").groupBy("cls").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     wanted = _base.materialize(places.join(classes.select("cls", "first_id"), "cls"), "suffix-places").withColumnRenamed("cls", "cls2")
     body = texts.join(wanted.hint("shuffle_hash"), (texts["doc_id"] == wanted["first_id"]) & (texts["cls"] == wanted["cls2"]))
