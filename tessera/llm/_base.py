@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd", level: int = 3) -> DataFrame:
+#: Paths of written tables, a list for each open ``scratch``.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those it keeps.
+
+    What leaves the block must read kept tables only: they are written when the block ends, so
+    no lost executor asks for a deleted one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd", level: int = 3, keep: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts the lineage: what follows survives the loss of any executor, since the
-    Parquet files do not belong to one.
+    Parquet files do not belong to one.  The table outlives the ``keep``
+    innermost blocks of ``scratch``.
     """
     path = f"{shared_dir(df.sparkSession)}/tessera/{label}-{uuid.uuid4().hex}"
+    scopes = _scopes[: len(_scopes) - keep] if keep < len(_scopes) else []
+    if scopes:
+        scopes[-1].append(path)
     (df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", str(level)).parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -131,6 +131,11 @@ def find(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFr
 
 def _found(docs: DataFrame, items: DataFrame, config: Config) -> DataFrame:
     """As ``find``, for each text of a document, with ``text_hash``."""
+    with _base.scratch(docs.sparkSession):
+        return _base.materialize(_verified(docs, items, config), "contaminations", keep=1)
+
+
+def _verified(docs: DataFrame, items: DataFrame, config: Config) -> DataFrame:
     sketch = sketches(items, config)
     pairs = candidates(docs, sketch, config)
     k = config.shingle
@@ -155,8 +160,9 @@ def _found(docs: DataFrame, items: DataFrame, config: Config) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns."""
-    dirty = _found(docs, items, config).select(F.col("doc_id").alias("__dirty"), F.col("text_hash").alias("__text_hash")).distinct()
-    dirty = _base.materialize(dirty, "contaminated")
+    with _base.scratch(docs.sparkSession):
+        dirty = _found(docs, items, config).select(F.col("doc_id").alias("__dirty"), F.col("text_hash").alias("__text_hash")).distinct()
+        dirty = _base.materialize(dirty, "contaminated", keep=1)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__dirty"]) & (F.xxhash64(docs["text"]) == dirty["__text_hash"]), "left_anti")
 
 

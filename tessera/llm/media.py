@@ -213,25 +213,26 @@ _RESULT = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 def write_store(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """Written tables: the index (doc_id, n_bytes, media, digests) and the store."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    index = _base.materialize(
-        docs.select("doc_id", "text").mapInArrow(_index(config), f"doc_id {kind}, n_bytes long, media binary, digests array<binary>"), "media-index"
-    )
-    lists = index.groupBy("media").agg(F.first("digests").alias("digests"))
-    refs = lists.select("media", F.posexplode("digests").alias("seq", "digest"))
-    counted = refs.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("owner"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    owners = _base.materialize(counted.select("digest", "owner"), "shared-chunks")
-    mine = (F.col("owner.media") == F.col("media")) & (F.col("owner.seq") == F.col("seq"))
-    plans = (
-        refs.join(owners, "digest")
-        .groupBy("media")
-        .agg(F.collect_list("seq").alias("shared"), F.collect_list(F.when(mine, F.col("seq"))).alias("owned"))
-        .select(F.col("media").alias("plan_of"), "shared", "owned")
-    )
-    pressed = docs.select("text").mapInArrow(_pressed(config), "media binary, pressed binary")
-    pressed = pressed.groupBy("media").agg(F.first("pressed").alias("pressed"))
-    planned = pressed.join(plans, F.col("media") == F.col("plan_of"), "left").select("media", "pressed", "shared", "owned")
-    return index, _base.materialize(planned.mapInArrow(_store(config), _STORE), "media-store", level=9)
+    with _base.scratch(docs.sparkSession):
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        index = _base.materialize(
+            docs.select("doc_id", "text").mapInArrow(_index(config), f"doc_id {kind}, n_bytes long, media binary, digests array<binary>"), "media-index", keep=1
+        )
+        lists = index.groupBy("media").agg(F.first("digests").alias("digests"))
+        refs = lists.select("media", F.posexplode("digests").alias("seq", "digest"))
+        counted = refs.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("owner"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        owners = _base.materialize(counted.select("digest", "owner"), "shared-chunks")
+        mine = (F.col("owner.media") == F.col("media")) & (F.col("owner.seq") == F.col("seq"))
+        plans = (
+            refs.join(owners, "digest")
+            .groupBy("media")
+            .agg(F.collect_list("seq").alias("shared"), F.collect_list(F.when(mine, F.col("seq"))).alias("owned"))
+            .select(F.col("media").alias("plan_of"), "shared", "owned")
+        )
+        pressed = docs.select("text").mapInArrow(_pressed(config), "media binary, pressed binary")
+        pressed = pressed.groupBy("media").agg(F.first("pressed").alias("pressed"))
+        planned = pressed.join(plans, F.col("media") == F.col("plan_of"), "left").select("media", "pressed", "shared", "owned")
+        return index, _base.materialize(planned.mapInArrow(_store(config), _STORE), "media-store", level=9, keep=1)
 
 
 def read_store(store: DataFrame) -> DataFrame:

@@ -402,6 +402,11 @@ def find(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 def _found(docs: DataFrame, config: Config) -> DataFrame:
     """What ``find`` gives, and the hash of the row's text."""
+    with _base.scratch(docs.sparkSession):
+        return _found_in(docs, config)
+
+
+def _found_in(docs: DataFrame, config: Config) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     described = described.mapInArrow(_describe(config), f"doc_id {kind}, n_shingles long, cid binary, sig binary, text_key long")
@@ -424,13 +429,15 @@ def _found(docs: DataFrame, config: Config) -> DataFrame:
     named = _base.materialize(named.join(heads, "root").select(F.col("cid").alias("class"), "component_id"), "components")
     out = rows.select("doc_id", "n_shingles", "cid", "text_key").join(named, F.col("cid") == F.col("class"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    return _base.materialize(out, "near-duplicate-rows", keep=1)
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that their component keeps, with their own columns."""
-    gone = _found(docs, config).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text_key")).distinct()
-    gone = _base.materialize(gone, "near-duplicates")
+    with _base.scratch(docs.sparkSession):
+        gone = _found(docs, config).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text_key")).distinct()
+        gone = _base.materialize(gone, "near-duplicates", keep=1)
     return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__text_key"]), "left_anti")
 
 
