@@ -48,6 +48,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _base.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = _base.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    with _base.scratch(spark):
+        for k, (name, stage) in enumerate(STAGES, 1):
+            with _base.scratch(spark):  # a stage's own tables go when its result is written
+                docs = _base.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=2 if k == len(STAGES) else 1)
     return docs
