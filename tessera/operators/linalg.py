@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import ieee
+
 #: Relative cutoff of singular values in :func:`lstsq_min_norm`: ten times the float32 epsilon.
 RANK_CUTOFF = 10 * float(np.finfo(np.float32).eps)
 
@@ -209,6 +211,48 @@ def multiply(df: DataFrame, xs: Sequence[str], small, names: Sequence[str] | Non
     return df.select(*keep, *out)
 
 
+def multiply_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Product of two matrices given by their cells, (i, k, v) times (k, j, v): cells (i, j, v).
+
+    A join on the inner index and a sum that combines before its shuffle; cells that are not
+    there are zeros, so both sides may be of any size.
+    """
+    left = a.select("i", "k", F.col("v").cast("double").alias("__a"))
+    right = b.select("k", "j", F.col("v").cast("double").alias("__b"))
+    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("__a") * F.col("__b")).alias("v"))
+
+
+def combine(a: DataFrame, b: DataFrame, on: str, xs: Sequence[str], operation: str) -> DataFrame:
+    """Element-wise ``add``, ``sub``, ``emul`` or ``ediv`` of the columns ``xs`` of two frames, rows matched by ``on``."""
+    work = {"add": lambda p, q: p + q, "sub": lambda p, q: p - q, "emul": lambda p, q: p * q, "ediv": ieee.divide}[operation]
+    right = b.select(F.col(on).alias("__on"), *[F.col(x).cast("double").alias(f"__{i}") for i, x in enumerate(xs)])
+    both = a.join(right, F.col(on) == F.col("__on"))
+    return both.select(on, *[work(F.col(x).cast("double"), F.col(f"__{i}")).alias(x) for i, x in enumerate(xs)])
+
+
+def scale(df: DataFrame, xs: Sequence[str], factor: float, keep: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keep, *[(F.col(x).cast("double") * float(factor)).alias(x) for x in xs])
+
+
+def slice_rows(df: DataFrame, order_by: str, first: int, end: int) -> DataFrame:
+    """Rows ``first`` up to before ``end`` in the order of a column, distributed."""
+    from tessera.operators.stats import positions
+
+    return positions(df, order_by, "__pos").where((F.col("__pos") >= first) & (F.col("__pos") < end)).drop("__pos")
+
+
+def reshape(df: DataFrame, order_by: str, xs: Sequence[str], width: int, names: Sequence[str] | None = None) -> DataFrame:
+    """The cells of ``xs`` in row order as rows of ``width`` columns, with the column ``row``."""
+    from tessera.operators.stats import positions
+
+    names = list(names or [f"col{j}" for j in range(width)])
+    cells = F.posexplode(F.array(*[F.col(x).cast("double") for x in xs])).alias("__j", "__v")
+    at = positions(df.select(F.col(order_by).alias("__t"), *[F.col(x).alias(x) for x in xs]), "__t", "__pos").select("__pos", cells)
+    at = at.withColumn("__at", F.col("__pos") * len(xs) + F.col("__j"))
+    picked = [F.max(F.when(F.col("__at") % width == j, F.col("__v"))).alias(n) for j, n in enumerate(names)]
+    return at.groupBy(F.floor(F.col("__at") / width).alias("row")).agg(*picked)
+
+
 def dot(df: DataFrame, a: str, b: str, name: str = "dot") -> DataFrame:
     """Inner product of two columns."""
     return df.agg(F.coalesce(F.sum(F.col(a).cast("double") * F.col(b).cast("double")), F.lit(0.0)).alias(name))

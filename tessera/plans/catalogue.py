@@ -368,12 +368,12 @@ _add("mat_tall_svd", _tall_svd, f"{_G} SELECT {_EIG.format('+')} AS hi FROM g")
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import catalogue_more
+    from tessera.plans import catalogue_extra, catalogue_more
 
-    return _queries | catalogue_more.queries()
+    return _queries | catalogue_more.queries() | catalogue_extra.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import catalogue_more
+    from tessera.plans import catalogue_extra, catalogue_more
 
-    return _oracles | catalogue_more.oracle_sql()
+    return _oracles | catalogue_more.oracle_sql() | catalogue_extra.oracle_sql()

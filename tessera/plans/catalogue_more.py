@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tessera.functions import distributions, special
 from tessera.functions.rng import Rng
 from tessera.operators import models, ranges
-from tessera.operators.frame import from_matrix
 from tessera.plans.lowering import sql
 from tessera.sources import jsonio, npy, text
 from tessera.streaming import queries as streams
@@ -73,11 +72,11 @@ def txt_roundtrip(spark, sf_dir):
 
 
 def npy_roundtrip(spark, sf_dir):
-    with tempfile.TemporaryDirectory() as folder:  # a local file, as the format is; read before it goes
-        path = os.path.join(folder, "x.npy")
-        npy.write_npy(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), path, "s_suppkey")
-        back = npy._array(open(path, "rb").read())
-    return from_matrix(spark, back, ["s_suppkey", "s_acctbal"])
+    path = _folder(spark)
+    local = path.removeprefix("file://")  # the format is one local file, written by the driver
+    os.makedirs(local)
+    npy.write_npy(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), f"{local}/x.npy", "s_suppkey")
+    return npy.read_npy(spark, path).toDF("s_suppkey", "s_acctbal")
 
 
 def json_roundtrip(spark, sf_dir):
@@ -162,5 +161,8 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY 1, 2",
         "sql_try": "SELECT * FROM (VALUES (0, 'SYNTAX'), (1, 'DATA'), (2, 'DATA'), (3, 'OK')) t(i, kind)",
         "sql_nested": "SELECT AVG(q) AS a, MAX(q) AS m FROM (SELECT SUM(l_quantity) AS q FROM lineitem GROUP BY l_suppkey)",
-        "mlp_fit": "SELECT n_nationkey % 2 AS g, TRUE AS positive, '[1,3,1]' AS sizes FROM nation GROUP BY 1",
+        "student_logpdf": """SELECT c_custkey, LGAMMA(2.0::DOUBLE) - LGAMMA(1.5::DOUBLE) - 0.5 * LN(3 * PI()) - LN(3000.0::DOUBLE)
+          - 2 * LN(1 + ((c_acctbal - 4500) / 3000) * ((c_acctbal - 4500) / 3000) / 3) AS logpdf FROM customer""",
+        "mvgauss_logpdf": """WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS x, l_discount - 0.05::DOUBLE AS y, 200 * 0.01::DOUBLE - 0.1::DOUBLE * 0.1 AS det FROM lineitem)
+          SELECT l_orderkey, l_linenumber, -0.5 * (0.01::DOUBLE * x * x - 0.2::DOUBLE * x * y + 200 * y * y) / det - 0.5 * LN(det) - LN(2 * PI()) AS logpdf FROM d""",
     }

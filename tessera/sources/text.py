@@ -80,7 +80,7 @@ def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",
     """A directory of part files, written by the executors."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     out = plain.select(*[c.alias(f"o{i}") for i, c in enumerate(_plain_fields(df))]).toDF(*df.columns)
-    out.write.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path)
+    out.write.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _plain_fields(df: DataFrame) -> list[Column]:
