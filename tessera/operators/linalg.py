@@ -247,7 +247,7 @@ def reshape(df: DataFrame, order_by: str, xs: Sequence[str], width: int, names:
 
     names = list(names or [f"col{j}" for j in range(width)])
     cells = F.posexplode(F.array(*[F.col(x).cast("double") for x in xs])).alias("__j", "__v")
-    at = positions(df.select(F.col(order_by).alias("__t"), *[F.col(x).alias(x) for x in xs]), "__t", "__pos").select("__pos", cells)
+    at = positions(df.select(F.col(order_by).alias("__t"), *[F.col(x).alias(x) for x in xs]), "__t", "__pos", xs).select("__pos", cells)
     at = at.withColumn("__at", F.col("__pos") * len(xs) + F.col("__j"))
     picked = [F.max(F.when(F.col("__at") % width == j, F.col("__v"))).alias(n) for j, n in enumerate(names)]
     return at.groupBy(F.floor(F.col("__at") / width).alias("row")).agg(*picked)

@@ -22,6 +22,8 @@ from tessera.functions import ieee
 By = Sequence[str] | None
 _CHUNK = 50_000
 _BUCKETS = 64
+#: Rows that a bucket holds, about, however many rows there are.
+_BUCKET_ROWS = 100_000
 
 
 class StatsError(ValueError):
@@ -64,49 +66,81 @@ def column_means(df: DataFrame, xs: Sequence[str]) -> DataFrame:
 
 
 def median(df: DataFrame, x: str, by: By = None, name: str = "median", approx: bool = False) -> DataFrame:
-    """Exact by default; ``approx`` keeps a sketch of bounded size instead of all values."""
-    c = F.percentile_approx(_d(x), 0.5, 10_000) if approx else F.median(_d(x))
-    return _agg(df, by, c.alias(name))
+    """Exact by default; ``approx`` keeps a sketch of bounded size instead of all values.
 
-
-def _bounds(df: DataFrame, column: str, buckets: int) -> list:
-    """At most ``buckets`` - 1 quantiles of a column."""
-    at = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(column), at, 10_000).alias("q")).first()
-    return sorted(set(found["q"] or [])) if found else []
-
-
-def _bucket(column: str, bounds: list) -> Column:
-    """How many bounds are below the value; bounds are a literal array of fixed size."""
+    Ungrouped, the middle rows are found by their positions, so no task holds all values.
+    """
+    if approx or by:
+        return _agg(df, by, (F.percentile_approx(_d(x), 0.5, 10_000) if approx else F.median(_d(x))).alias(name))
+    values = df.select(_d(x).alias("__x")).where(F.col("__x").isNotNull())
+    n = values.count()
+    placed = positions(values, "__x", "__pos", rows=n)
+    return placed.where(F.col("__pos").isin((n - 1) // 2, n // 2)).agg(F.avg("__x").alias(name))
+
+
+def _scale(df: DataFrame, column: str) -> Column:
+    """The column as a double, in the same order (times without a zone as whole seconds)."""
+    c, kind = F.col(column), df.schema[column].dataType.typeName()
+    if kind not in ("date", "timestamp_ntz"):
+        return c.cast("double")
+    days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
+    if kind == "date":
+        return days
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def _bucketed(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
+    """Add ``__bucket``, which grows with a numeric or time column.
+
+    Quantiles make ``_BUCKETS`` wide buckets; each is cut evenly between its ends, as often as
+    the number of rows asks for.  Equal values share a bucket.
+    """
+    value = _scale(df, column)
+    at = [i / _BUCKETS for i in range(_BUCKETS + 1)]
+    bounded = df.where(~F.isnan(value))
+    found = bounded.agg(F.percentile_approx(value, at, 10_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    bounds = sorted({q for q in (found["q"] or []) if abs(q) != float("inf")}) if found else []
+    cuts = max(1, -(-(rows or (found["n"] if found else 0)) // (_BUCKETS * _BUCKET_ROWS)))
     if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(column)))
-
-
-def positions(df: DataFrame, order_by: str, name: str = "pos", buckets: int = _BUCKETS) -> DataFrame:
-    """Add the row's position from 0 in the order of a numeric or time column (nulls are dropped)."""
-    df = df.where(F.col(order_by).isNotNull())
-    tagged = df.withColumn("__bucket", _bucket(order_by, _bounds(df, order_by, buckets)))
+        return df.withColumn("__bucket", F.lit(0).cast("long"))
+    ends = F.array(*[F.lit(b) for b in bounds])
+    wide = F.size(F.filter(ends, lambda b: b < value))  # bounds below: a literal array of fixed size
+    if cuts == 1:
+        return df.withColumn("__bucket", wide.cast("long"))
+    low, high = F.element_at(ends, F.greatest(wide, F.lit(1))), F.element_at(ends, F.least(wide + 1, F.lit(len(bounds))))
+    part = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+    part = F.when(F.isnan(value) | (wide >= len(bounds)), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(part, F.lit(1.0))))
+    return df.withColumn("__bucket", (wide * (cuts + 1) + F.floor(part * cuts)).cast("long"))
+
+
+def positions(df: DataFrame, order_by: str, name: str = "pos", ties: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Add the row's position from 0 in the order of a numeric or time column (nulls are dropped).
+
+    Rows that are equal in it follow the order of the columns ``ties``; what is equal there too
+    may come in any order.
+    """
+    tagged = _bucketed(df.where(F.col(order_by).isNotNull()), order_by, rows)
     sizes = tagged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_by)) - 1
-    placed = tagged.withColumn("__inside", inside).join(F.broadcast(starts), F.col("__bucket") == F.col("__b"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_by, *ties)) - 1
+    placed = tagged.withColumn("__inside", inside).join(starts, F.col("__bucket").eqNullSafe(F.col("__b")))
     return placed.withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__bucket", "__b", "__inside", "__start")
 
 
 def lagged(df: DataFrame, xs: Sequence[str], order_by: str, lags: Sequence[int], by: By = None) -> DataFrame:
     """Columns ``x`` and ``x_lag{k}`` (null before the start) for each row, distributed.
 
-    With ``by`` each group is a series of its own (one window partition a group).
+    With ``by`` each group is a series of its own (one window partition a group).  Rows of one
+    time follow the order of their values, so the result depends on the data alone.
     """
     picked = [F.col(order_by).alias("__t"), *[_d(x).alias(x) for x in dict.fromkeys(xs)]]
     if by:
-        w = Window.partitionBy(*by).orderBy("__t")
+        w = Window.partitionBy(*by).orderBy("__t", *xs)
         return df.select(*by, *picked).select(*by, *xs, *[F.lag(x, k).over(w).alias(f"{x}_lag{k}") for x in xs for k in lags])
     most = max(lags, default=0)
     size = max(_CHUNK, 4 * most)
-    placed = positions(df.select(*picked), "__t", "__pos")
+    placed = positions(df.select(*picked), "__t", "__pos", xs)
     chunk = F.floor(F.col("__pos") / size)
     tail = F.col("__pos") % size >= size - most
     copies = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
@@ -174,12 +208,12 @@ def rank(df: DataFrame, x: str, by: By = None, name: str = "rank") -> DataFrame:
         same = F.count(F.lit(1)).over(Window.partitionBy(*by, _d(x)))
         return df.withColumn(name, low + (same - 1) / F.lit(2.0))
     counts = df.groupBy(_d(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__bucket", _bucket("__v", _bounds(df.select(_d(x).alias("__v")), "__v", _BUCKETS)))
+    counts = _bucketed(counts, "__v")
     sizes = counts.groupBy("__bucket").agg(F.sum("__n").alias("__s"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(F.broadcast(starts), F.col("__bucket") == F.col("__b"))
+    ranked = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, F.col("__bucket").eqNullSafe(F.col("__b")))
     ranked = ranked.select("__v", (F.col("__start") + F.col("__in") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
     return df.join(ranked, _d(x).eqNullSafe(F.col("__v"))).drop("__v")
 
@@ -209,7 +243,7 @@ def rmse(df: DataFrame, actual: str, predicted: str, by: By = None, name: str =
 
 
 def medae(df: DataFrame, actual: str, predicted: str, by: By = None, name: str = "medae") -> DataFrame:
-    return _agg(df, by, F.median(F.abs(_error(actual, predicted))).alias(name))
+    return median(df.select(*(by or []), F.abs(_error(actual, predicted)).alias("__error")), "__error", by, name)
 
 
 def mape(df: DataFrame, actual: str, predicted: str, by: By = None, name: str = "mape") -> DataFrame:

@@ -68,3 +68,24 @@ def test_metrics(series):
     for bad in (lambda: stats.mape(series([0, 1], [1, 1]), "x", "y"), lambda: stats.rmsle(series([-1, 1], [1, 1]), "x", "y"), lambda: stats.r2(series([1, 1]), "x", "y")):
         with pytest.raises(Exception, match="mape|rmsle|r2"):
             one(bad())
+
+
+def test_lags_with_ties_do_not_depend_on_partitions(spark):
+    rows = [(i // 7, float((i * 37) % 101)) for i in range(400)]
+    df = spark.createDataFrame(rows, "t int, x double")
+    found = {n: stats.autocorrelation(df.repartition(n), "x", 1, "t").first()[0] for n in (1, 3, 7)}
+    assert max(found.values()) - min(found.values()) < 1e-12
+
+
+def test_fine_buckets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_BUCKET_ROWS", 1)
+    values = [float("nan"), float("inf"), -float("inf"), 0.0, -0.0] + [(-1) ** i * (i % 97) ** 2 / 7 for i in range(900)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int").repartition(5)
+    placed = [r.v for r in stats.positions(df, "v", "p", ["i"]).orderBy("p").collect()]
+    want = sorted((v for v in values if v == v)) + [float("nan")]
+    assert placed[:-1] == want[:-1] and placed[-1] != placed[-1] and len(placed) == len(values)
+    finite = df.where("i >= 5")
+    assert stats.median(finite, "v").first()[0] == sorted(values[5:])[449] / 2 + sorted(values[5:])[450] / 2
+    assert stats.median(df.limit(0), "v").first()[0] is None
+    ranks = {r.i: r["rank"] for r in stats.rank(finite, "v").collect()}
+    assert all(abs(ranks[i] - (sum(u < v for u in values[5:]) + (sum(u == v for u in values[5:]) + 1) / 2)) < 1e-9 for i, v in enumerate(values) if i >= 5 and i % 50 == 0)
