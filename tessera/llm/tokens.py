@@ -43,7 +43,7 @@ class Config:
     bits: int = 16
     shard_tokens: int = 1 << 21
     #: Memory that a worker's table of known pieces may take, about.
-    cache_bytes: int = 96 << 20
+    cache_bytes: int = 192 << 20
     #: Characters of text that are encoded in one go; a longer text comes alone and whole.
     slice_chars: int = 2_000_000
 
