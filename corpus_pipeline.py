@@ -31,7 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encode_documents(docs)
+    # Earlier stages leave the executor's heap grown, so the table of known pieces is smaller here.
+    return tokens.encode_documents(docs, tokens.Config(cache_bytes=96 << 20))
 
 
 STAGES = [
