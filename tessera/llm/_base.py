@@ -23,6 +23,7 @@ SLICE_BYTES = 2_000_000
 #: ASCII white space as the contracts write it: ``[\x20\x09-\x0D]``.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\f\r"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_dir: str | None = None

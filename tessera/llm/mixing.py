@@ -4,8 +4,9 @@ Every document gets an Efraimidis-Spirakis key ``-ln(u) / w``: ``u`` is a reprod
 uniform number made from the row itself, ``w`` its quality weight.  Within a source, rows in
 key order are a weighted sample without replacement of every length, so a budget of words is
 met by a prefix.  A source whose target is above its size first gives complete epochs (each
-row once) and only the rest is drawn from the order.  The row on the border is cut to the
-words that are still wanted, so a source meets its target to the word.
+row once) and only the rest is drawn from the order.  The row on the border is cut after the
+words that are still wanted, so a source meets its target to the word; what is left keeps its
+white space and line breaks.
 
 Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and share
 ``share`` times all words; none goes above ``most_epochs`` times its own size, and what that
@@ -149,8 +150,10 @@ def mixed_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def _first_words(text: Column, n: Column) -> Column:
-    """The first ``n`` words of a text, joined by single spaces."""
-    return F.array_join(F.slice(_base.words_of(text), F.lit(1), n.cast("int")), " ")
+    """A text to the end of its ``n``-th word, of more than ``n``: its white space and line breaks stay."""
+    begins = F.substring(text, 1, 1).isin(*_base.BLANKS).cast("int")
+    rest = F.get(F.split(text, _base.SPACE, n.cast("int") + begins + 1), n.cast("int") + begins)
+    return F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), F.lit(_base.BLANKS))
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def test_mixed_documents(documents):
     assert mixed.where(F.length("text") != F.col("n_chars")).count() == docs.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_cut_keeps_white_space(spark):
+    texts = ["a b c d", "  a\n\nb\tc  \n d ", "a\nb\r\nc d e\n", "é\u00a0x ü  ж\x0by z", "one two"]
+    rows = [(t, n) for t in texts for n in range(1, len(re.findall(r"[^\x20\x09-\x0D]+", t)))]
+    got = spark.createDataFrame(rows, "text string, n long").select("text", "n", mixing._first_words(F.col("text"), F.col("n")).alias("cut")).collect()
+    for r in got:
+        assert r.cut == r.text[: list(re.finditer(r"[^\x20\x09-\x0D]+", r.text))[r.n - 1].end()]
+
+
 def test_dirty_rows(dirty, none):
     assert mixing.mix(dirty).count() == dirty.count() and mixing.mix(none).count() == 0
     assert mixing.mixed_documents(dirty).columns == dirty.columns and mixing.mixed_documents(none).count() == 0
