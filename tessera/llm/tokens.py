@@ -5,11 +5,14 @@ an end id and cut into shards at document borders.  A shard is one compressed fi
 (:mod:`tessera.llm.wavelet`), written by Spark as a row of a Parquet table, so it reaches any
 store that Spark can write.  The numbers of the result are computed from the files, read back.
 
-Encoding: a byte-level BPE works on each pre-token by itself, and where white space comes
-one character at a time, a pre-token begins at every space and on both sides of a newline.
-So a text may be cut there and each piece encoded once: a per-worker table keeps the ids of
-pieces already seen, and the tokenizer's model only ever sees new ones.  Texts with the
-vocabulary's special strings, or with longer runs of white space, go to the tokenizer whole.
+Encoding: a byte-level BPE works on each pre-token by itself.  So a text may be cut wherever a
+pre-token begins for certain: at a run of white space, before its last character, after it unless
+it ends with a space, and between an ASCII letter and an ASCII digit or sign.  The cuts are found
+on the bytes, a slice's distinct pieces by Arrow's dictionary encoding, and each is looked up once
+in a per-worker table of the ids of pieces already seen; the tokenizer only ever sees new ones, all
+of a slice in one call, and its ids are dealt to the pieces by the bytes that they stand for.  Texts
+with the vocabulary's special strings, or with white space beyond ASCII next to other white space,
+go to the tokenizer whole.
 The table has two generations and one budget in bytes (``Config.cache_bytes``): when the young
 one has half of it, it becomes the old one, and what is used again moves back, so frequent
 pieces stay and a worker's memory does not grow with the vocabulary of the corpus.
@@ -21,15 +24,16 @@ gives no shards and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +52,27 @@ class Config:
     slice_chars: int = 2_000_000
 
 
-_TRICKY = re.compile(r"\s\s")
-# Fixed value: the pre-token pattern of byte-level BPE as published with GPT-2.
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space beyond ASCII with other white space beside it: where pre-tokens begin is left to the tokenizer.
+_TRICKY = re.compile(r"[^\S\x00-\x7f]\s|\s[^\S\x00-\x7f]")
+# Kinds of bytes: 1 white space, 2 a space besides, 4 a letter, 8 a digit, sign or control.
+_KIND = bytes(
+    3 if b == 0x20 else 1 if b in b"\t\n\x0b\f\r" else 0 if b > 0x7F else 4 if chr(b).isalpha() else 8 for b in range(256)
+)
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter that byte-level BPE writes for each byte: printable Latin-1 is itself, the
-    others follow from U+0100 on, in order."""
+    others follow from U+0100 on, in order.  A line break stays, as it parts the words."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(0x100, 0x200))
-    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+    letters = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+    letters[0x0A] = "\n"
+    return "".join(letters)
 
 
 _LETTERS = _byte_letters()
+#: Pieces whose ids are put together at once.
+_BLOCK = 1 << 19
 #: Bytes that an entry of the table takes besides its characters and ids: two objects and a slot.
 _ENTRY = 190
 
@@ -91,58 +102,100 @@ class Encoder:
             and not before.get("add_prefix_space")
         )
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.words = Tokenizer(self.model)  # takes pre-tokens, spelt in the letters of bytes
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that an id stands for
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
         self.most, self.held, self.seen, self.old = most, 0, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = self.seen.get(word) or self.old.get(word)
-        if ids is None:
-            spelt = word.replace(" ", _LETTERS[0x20]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+    def _each(self, tokenizer, words: list[str], sizes: list[int], pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from one call with all of them as ``words`` of ``sizes`` bytes."""
+        if not pieces:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+        ends, after = np.cumsum(sizes), np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        cuts = np.searchsorted(after, ends)
+        if after[-1] != ends[-1] or (after[cuts] != ends).any():  # not every byte has an id of its own
+            return self._whole(pieces)
+        data, cuts = ids.astype(self.kind).tobytes(), (cuts * self.kind.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces.  Words of common scripts are pre-tokens and go to the BPE model;
+        the others go through the whole tokenizer."""
+        word = [(p[1:] if p[0] == " " else p).isalpha() and (p.isascii() or max(p) < "\u0590") for p in pieces]
+        words, odd = list(compress(pieces, word)), [p for p, w in zip(pieces, word, strict=True) if not w]
+        spelt = codecs.charmap_decode("\n".join(words).encode(), "strict", _LETTERS)[0].split("\n")
+        of_words = iter(self._each(self.words, spelt, list(map(len, spelt)), words))
+        of_odd = iter(self._each(self.tokenizer, odd, [len(p.encode()) for p in odd], odd))
+        ids = [next(of_words) if w else next(of_odd) for w in word]
+        self.held += _ENTRY * len(pieces) + 2 * sum(map(len, pieces)) + sum(map(len, ids))
         return ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces.  Those of common scripts are cut into pre-tokens here, and go to
-        the BPE model one by one; the others go through the whole tokenizer."""
-        known, ids, odd = [], [], []
-        for p in pieces:
-            if not p or not (p.isascii() or max(p) < "\u0590"):
-                odd.append(p)
-                continue
-            known.append(p)
-            core = p[1:] if p[0] == " " else p
-            if core.isalpha():
-                ids.append(self._word(p))
-            elif core[:-1].isalpha() and core[-1] in ".,;:!?":
-                ids.append(self._word(p[:-1]) + self._word(p[-1]))
-            else:
-                ids.append(b"".join([self._word(w) for w in _PRE_TOKEN.findall(p)]))
-        known += odd
-        ids += self._whole(odd)
-        self.held += _ENTRY * len(known) + 2 * sum(map(len, known)) + sum(map(len, ids))
-        self.seen.update(zip(known, ids, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            plain = self.splits and "\0" not in t and not _TRICKY.search(t) and not any(s in t for s in self.special)
-            pieces.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else None)
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, by the table."""
         if self.held > self.most // 2:
             self.held, self.seen, self.old = 0, {}, self.seen
-        new = set().union(*[cut for cut in pieces if cut]).difference(self.seen)
-        if self.old:
-            again = new.intersection(self.old)
-            self.seen.update((p, self.old[p]) for p in again)
-            self.held += (_ENTRY + 32) * len(again)
-            new -= again
-        self._learn(new)
-        whole = iter(self._whole([t for t, cut in zip(texts, pieces, strict=True) if cut is None]))
-        get = self.seen.__getitem__
-        return [next(whole) if cut is None else b"".join(map(get, cut)) for cut in pieces]
+        ids = list(map(self.seen.get, pieces))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        new = [pieces[i] for i in gaps]
+        again = list(map(self.old.get, new))
+        fresh = [p for p, x in zip(new, again, strict=True) if x is None]
+        self.held += (_ENTRY + 32) * (len(new) - len(fresh))
+        learnt = iter(self._learn(fresh))
+        found = [next(learnt) if x is None else x for x in again]
+        self.seen.update(zip(new, found, strict=True))
+        for i, x in zip(gaps, found, strict=True):
+            ids[i] = x
+        return ids
+
+    def _pieces(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut."""
+        raw, at = _base.utf8(texts)
+        if not len(raw):
+            return [b""] * len(texts)
+        kind = np.frombuffer(raw.tobytes().translate(_KIND), np.uint8)
+        white = (kind & 1).view(bool)
+        begins = white.copy()
+        # Inside a run of white space, only before its last character if the text goes on.
+        last = np.empty(len(raw), bool)
+        last[:-1] = ~white[1:]
+        last[at[1:][at[1:] > 0] - 1] = False
+        begins[1:] &= last[1:] | ~white[:-1]
+        begins[1:] |= (kind[:-1] == 1) & ~white[1:]
+        begins[1:] |= (kind[:-1] == 4) & (kind[1:] == 8)
+        begins[at[:-1][at[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(begins)
+        cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        which = cut.indices.to_numpy()
+        ids = self._known(cut.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat, first = np.frombuffer(b"".join(ids), self.kind), np.cumsum(sizes) - sizes
+        body = []
+        for k in range(0, len(which), _BLOCK):
+            some = which[k : k + _BLOCK]
+            n = sizes[some]
+            ends = np.cumsum(n)
+            body.append(flat[np.repeat(first[some] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        data = b"".join(body)
+        after = np.concatenate([[0], np.cumsum(sizes[which])]) * width
+        cuts = after[np.searchsorted(starts, at)].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        raw, at = _base.utf8(column)
+        # First bytes of all white space beyond ASCII: only texts with one of them need a look.
+        rare = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+        look = np.diff(np.searchsorted(rare, at)) > 0
+        plain = [self.splits and not any(s in t for s in self.special) and not (r and _TRICKY.search(t)) for t, r in zip(texts, look.tolist(), strict=True)]
+        cut = iter(self._pieces(column if all(plain) else column.filter(pa.array(plain, pa.bool_()))))
+        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(cut) if p else next(whole) for p in plain]
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -41,9 +41,9 @@ class WaveletMatrix:
         for k in range(bits):
             one = (x & kind(1 << (bits - 1 - k))) != 0
             planes.append(np.packbits(one))
-            low = x[~one]
+            low = x.compress(~one)
             zeros[k] = len(low)
-            x = np.concatenate([low, x[one]])
+            x = np.concatenate([low, x.compress(one)])
         return cls(bits, len(tokens), zeros, planes)
 
     def _plane(self, k: int) -> np.ndarray:
@@ -56,8 +56,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             one, z = self._plane(k), int(self.zeros[k])
             before = np.empty_like(x)
-            before[~one] = x[:z]
-            before[one] = x[z:] | kind(1 << (self.bits - 1 - k))
+            before[np.flatnonzero(~one)] = x[:z]
+            before[np.flatnonzero(one)] = x[z:] | kind(1 << (self.bits - 1 - k))
             x = before
         return x
 

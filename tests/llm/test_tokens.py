@@ -53,3 +53,35 @@ def test_files(spark, documents, dirty, size):
 
 def test_empty(none):
     assert tokens.encode_documents(none).count() == 0
+
+
+def test_known_pieces_never_reach_the_tokenizer_again():
+    """Blank lines, runs of blanks and signs behind words are cut too, so a second pass over
+    such texts gives the tokenizer nothing, and the first gives it each distinct piece once."""
+    texts = ["A word,  another word.\n\nA word;\tanother: word (1234)!\r\n  ", "def a(b):\n    return b  # b, a\n\n\n", "é ß,  Straße x."] * 3
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, given = tokens.Encoder(None, 1 << 30), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, batch, **how):
+            given.extend(w for b in batch for w in ([b] if isinstance(b, str) else b))
+            return self.inner.encode_batch_fast(batch, **how)
+
+        def tokenize(self, word):
+            given.append(word)
+            return self.inner.tokenize(word)
+
+    for part in ("tokenizer", "model", "words"):
+        if hasattr(encoder, part):
+            setattr(encoder, part, Counted(getattr(encoder, part)))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for again in (False, True):
+        assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == want
+        assert not given if again else len(given) == len(set(given)) > 0
+        given.clear()
