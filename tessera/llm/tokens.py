@@ -103,8 +103,9 @@ class Encoder:
         )
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words = Tokenizer(self.model)  # takes pre-tokens, spelt in the letters of bytes
-        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that an id stands for
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes that an id stands for
+        for token, i in vocab.items():
             self.sizes[i] = len(token)
         self.most, self.held, self.seen, self.old = most, 0, {}, {}
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -85,3 +86,18 @@ def test_known_pieces_never_reach_the_tokenizer_again():
         assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == want
         assert not given if again else len(given) == len(set(given)) > 0
         given.clear()
+
+
+def test_encoder_with_a_vocabulary_that_lacks_bytes(tmp_path):
+    """Such a tokenizer drops characters, and ids may have gaps: pieces get their own ids all the same."""
+    vocab = {"a": 0, "b": 5, "Ġ": 9, ".": 11, "ab": 70}
+    spec = {"version": "1.0", "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None}
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "vocab": vocab, "merges": ["a b"]}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(spec))
+    texts = ["ab abc cab. b", "xyz", "a.b  a\n\nab", "", "é ab"]
+    encoder = tokens.Encoder(str(path), 1 << 20)
+    want = [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == want
