@@ -9,10 +9,10 @@ Encoding: a byte-level BPE works on each pre-token by itself.  So a text may be
 pre-token begins for certain: at a run of white space, before its last character, after it unless
 it ends with a space, and between an ASCII letter and an ASCII digit or sign.  The cuts are found
 on the bytes, a slice's distinct pieces by Arrow's dictionary encoding, and each is looked up once
-in a per-worker table of the ids of pieces already seen; the tokenizer only ever sees new ones, all
-of a slice in one call, and its ids are dealt to the pieces by the bytes that they stand for.  Texts
-with the vocabulary's special strings, or with white space beyond ASCII next to other white space,
-go to the tokenizer whole.
+in a per-worker table of the ids of pieces already seen; the tokenizer only ever sees new ones, many
+in a call, and its ids are dealt to the pieces by the bytes that they stand for.  Texts with the
+vocabulary's special strings, or with white space beyond ASCII next to other white space, go to
+the tokenizer whole.
 The table has two generations and one budget in bytes (``Config.cache_bytes``): when the young
 one has half of it, it becomes the old one, and what is used again moves back, so frequent
 pieces stay and a worker's memory does not grow with the vocabulary of the corpus.
@@ -71,8 +71,8 @@ def _byte_letters() -> str:
 
 
 _LETTERS = _byte_letters()
-#: Pieces whose ids are put together at once.
-_BLOCK = 1 << 19
+#: Pieces whose ids are put together at once, and words that go to the tokenizer in one call.
+_BLOCK, _WORDS = 1 << 16, 1 << 13
 #: Bytes that an entry of the table takes besides its characters and ids: two objects and a slot.
 _ENTRY = 190
 
@@ -113,16 +113,19 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, tokenizer, words: list[str], sizes: list[int], pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, from one call with all of them as ``words`` of ``sizes`` bytes."""
-        if not pieces:
-            return []
-        ids = np.array(tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-        ends, after = np.cumsum(sizes), np.concatenate([[0], np.cumsum(self.sizes[ids])])
-        cuts = np.searchsorted(after, ends)
-        if after[-1] != ends[-1] or (after[cuts] != ends).any():  # not every byte has an id of its own
-            return self._whole(pieces)
-        data, cuts = ids.astype(self.kind).tobytes(), (cuts * self.kind.itemsize).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        """Ids of each piece, given as ``words`` of ``sizes`` bytes, many in a call."""
+        found = []
+        for k in range(0, len(pieces), _WORDS):
+            some = slice(k, k + _WORDS)
+            ids = np.array(tokenizer.encode_batch_fast([words[some]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            ends, after = np.cumsum(sizes[some]), np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            cuts = np.searchsorted(after, ends)
+            if after[-1] != ends[-1] or (after[cuts] != ends).any():  # not every byte has an id of its own
+                found += self._whole(pieces[some])
+                continue
+            data, cuts = ids.astype(self.kind).tobytes(), (cuts * self.kind.itemsize).tolist()
+            found += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return found
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of new pieces.  Words of common scripts are pre-tokens and go to the BPE model;
