@@ -70,19 +70,38 @@ class Rng:
 
     def below_many(self, n: int, count: int) -> np.ndarray:
         """What ``count`` calls of ``below(n)`` give, for ``n`` below 2^32; numpy steps the same generator."""
+        return self.below_told(n, count)[0]
+
+    def below_told(self, n: int, count: int) -> tuple[np.ndarray, list[int], int]:
+        """``below_many``, which of the words it took were rejected (from 0), and how many it took."""
         if not 0 < n < 1 << 32:
             raise ValueError("n must be above zero and below 2^32")
-        bits = np.random.PCG64()
-        bits.state = {"bit_generator": "PCG64", "state": {"state": self.state, "inc": self.increment}, "has_uint32": 0, "uinteger": 0}
+        bits = self._numpy()
         reject, by, half = np.uint64((1 << 64) % n), np.uint64(n), np.uint64(32)
-        out, missing = [np.zeros(0, np.int64)], count
+        out, missing, rejected, taken = [np.zeros(0, np.int64)], count, [], 0
         while missing:
             x = bits.random_raw(missing)
-            x = x[x * by >= reject]
+            low = x * by
+            if low.min() < reject:
+                bad = low < reject
+                rejected += (taken + np.flatnonzero(bad)).tolist()
+                taken, x = taken + missing, x[~bad]
+            else:
+                taken += missing
             out.append((((x >> half) * by + ((x & np.uint64(0xFFFFFFFF)) * by >> half)) >> half).astype(np.int64))
             missing -= len(x)
         self.state = bits.state["state"]["state"]
-        return np.concatenate(out)
+        return np.concatenate(out), rejected, taken
+
+    def advance(self, words: int) -> Rng:
+        """Skip so many words (back, if below zero) without making them; returns itself."""
+        self.state, self._spare = self._numpy().advance(words & _M128).state["state"]["state"], None
+        return self
+
+    def _numpy(self) -> np.random.PCG64:
+        bits = np.random.PCG64()
+        bits.state = {"bit_generator": "PCG64", "state": {"state": self.state, "inc": self.increment}, "has_uint32": 0, "uinteger": 0}
+        return bits
 
     def normal(self) -> float:
         if self._spare is not None:

@@ -103,14 +103,23 @@ def _bucketed(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
     cuts = max(1, -(-(rows or (found["n"] if found else 0)) // (_BUCKETS * _BUCKET_ROWS)))
     if not bounds:
         return df.withColumn("__bucket", F.lit(0).cast("long"))
-    ends = F.array(*[F.lit(b) for b in bounds])
-    wide = F.size(F.filter(ends, lambda b: b < value))  # bounds below: a literal array of fixed size
+    df = df.withColumn("__scaled", value)
+    df, value, wide = df.withColumn("__wide", _bounds_below(F.col("__scaled"), bounds)), F.col("__scaled"), F.col("__wide")
     if cuts == 1:
-        return df.withColumn("__bucket", wide.cast("long"))
+        return df.withColumn("__bucket", wide.cast("long")).drop("__scaled", "__wide")
+    ends = F.array(*[F.lit(b) for b in bounds])
     low, high = F.element_at(ends, F.greatest(wide, F.lit(1))), F.element_at(ends, F.least(wide + 1, F.lit(len(bounds))))
     part = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
     part = F.when(F.isnan(value) | (wide >= len(bounds)), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(part, F.lit(1.0))))
-    return df.withColumn("__bucket", (wide * (cuts + 1) + F.floor(part * cuts)).cast("long"))
+    return df.withColumn("__bucket", (wide * (cuts + 1) + F.floor(part * cuts)).cast("long")).drop("__scaled", "__wide")
+
+
+def _bounds_below(value: Column, bounds: Sequence[float], start: int = 0) -> Column:
+    """How many of the sorted bounds lie below the value, by bisection."""
+    if not bounds:
+        return F.lit(start)
+    mid = len(bounds) // 2
+    return F.when(F.lit(bounds[mid]) < value, _bounds_below(value, bounds[mid + 1 :], start + mid + 1)).otherwise(_bounds_below(value, bounds[:mid], start))
 
 
 def positions(df: DataFrame, order_by: str, name: str = "pos", ties: Sequence[str] = (), rows: int | None = None) -> DataFrame:

@@ -185,6 +185,45 @@ def test_registered_confidence_set_takes_all_events(spark, tmp_path):
     assert [got[n].in_set for n in names] == [i in (kept or alive) for i in range(3)]
 
 
+@pytest.mark.parametrize("block,statistic,variance", [(10, "tmax", "bootstrap"), (7, "tr", "bootstrap"), (7, "tmax", "hac"), (1, "tr", "hac")])
+def test_confidence_set_without_gathering(spark, monkeypatch, block, statistic, variance):
+    """A table above the cells that may be gathered stays on the executors, in several stretches, with the same result."""
+    x = np.random.default_rng(8).normal(0, 1, (1000, 3)) + [1, 1.03, 1.08]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "t int, m0 double, m1 double, m2 double").repartition(5)
+    o = forecast.Options(draws=150, block=block, statistic=statistic, variance=variance)
+    want = forecast.mcs(df, o, "t", parallel=False)
+    monkeypatch.setattr(forecast, "GATHERED_CELLS", 100)
+    monkeypatch.setattr(forecast, "_TASK_CELLS", 1500)
+    monkeypatch.setattr(forecast, "_BLOCK_ROWS", 64)
+    monkeypatch.setattr(forecast, "_STARTS", 50)
+    monkeypatch.setattr(forecast, "_matrix", None)  # would gather
+    got = forecast.mcs(df, o, "t")
+    assert got.mean_loss == pytest.approx(want.mean_loss) and got.pvalue == pytest.approx(want.pvalue, abs=1e-9) and 0 < min(want.pvalue) < 1
+    assert (got.in_set, got.eliminated, got.converged) == (want.in_set, want.eliminated, want.converged)
+
+
+def test_draws_after_rejected_words(spark, monkeypatch):
+    """A rejected word moves all later draws by one word."""
+    n, block, draws = 60, 4, 9  # 15 starts below 57 a draw
+    rng = Rng(1)
+    rng.state = (0x123456789ABCDEF << 64) | 0x123456789ABCDEF  # its word is 0, which is rejected
+    rng.advance(-(4 * 15 + 6))
+    again = Rng(1)
+    again.state = rng.state
+    starts, rejected, taken = again.below_told(57, draws * 15)
+    assert rejected == [4 * 15 + 5] and taken == draws * 15 + 1
+    slow = Rng(1)
+    slow.state = rng.state
+    assert starts.tolist() == [slow.below(57) for _ in range(draws * 15)] and slow.state == again.state
+    x = np.random.default_rng(2).normal(size=(n, 2))
+    blocks = spark.createDataFrame([(i, bytearray(x[i * 16 : i * 16 + 16].tobytes())) for i in range(4)], "block long, x binary")
+    monkeypatch.setattr(forecast, "_BLOCK_ROWS", 16)
+    monkeypatch.setattr(forecast, "_TASK_CELLS", 64)
+    sums = forecast._all_draw_sums(blocks, 2, n, block, draws, rng)
+    want = [x[(s[:, None] + np.arange(block)).ravel()].sum(axis=0) for s in starts.reshape(draws, 15)]
+    assert sums == pytest.approx(np.array(want))
+
+
 def test_models(spark, tmp_path):
     x, y = np.array([[-1, -1, 1, 1], [-1, 1, -1, 1.0]]), np.array([[-1, 1, 1, -1.0]])
     fit = models.fit(x, y, [2, 4, 1], "tanh", "tanh", epochs=400, optimizer=lambda: models.Adam(rate=0.05), seed=1)
