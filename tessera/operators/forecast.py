@@ -188,19 +188,20 @@ def _round(spark: SparkSession | None, d: np.ndarray, states: list[Rng], o: Opti
     return t, centred / np.sqrt(variances if resample else v), mean
 
 
-def _matrix(losses: DataFrame, names: list[str], order_by: str | None, rows: int) -> np.ndarray:
+def _matrix(losses: DataFrame, names: list[str], order_by: str | None, rows: int, ties: Sequence[str] = ()) -> np.ndarray:
     if rows * max(1, len(names)) > MOST_CELLS:
         raise ValueError(f"a loss table of {rows} x {len(names)} is above the {MOST_CELLS} cells a test gathers")
-    df = losses.orderBy(order_by) if order_by else losses
+    df = losses.orderBy(order_by, *ties) if order_by else losses
     return df.select(*[F.col(n).cast("double") for n in names]).toPandas().to_numpy(float)
 
 
-def _packed(losses: DataFrame, names: list[str], order_by: str | None, rows: int) -> DataFrame:
+def _packed(losses: DataFrame, names: list[str], order_by: str | None, rows: int, ties: Sequence[str]) -> DataFrame:
     """The matrix as rows (block, x): bytes of ``_BLOCK_ROWS`` rows by position."""
     picked = [F.coalesce(F.col(n).cast("double"), F.lit(math.nan)).alias(f"x{i}") for i, n in enumerate(names)]
     cells = [f"x{i}" for i in range(len(names))]
     t = F.col(order_by) if order_by else F.monotonically_increasing_id()
-    placed = positions(losses.select(t.alias("__t"), *picked), "__t", "__pos", cells, rows)
+    last = [F.col(c).alias(f"__tie{i}") for i, c in enumerate(ties)]
+    placed = positions(losses.select(t.alias("__t"), *last, *picked), "__t", "__pos", [*[f"__tie{i}" for i in range(len(ties))], *cells], rows)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__pos")
@@ -299,7 +300,7 @@ def _all_draw_sums(blocks: DataFrame, m: int, n: int, block: int, draws: int, rn
         known |= rejected
 
 
-def _spread_out(losses: DataFrame, names: list[str], order_by: str | None, rows: int, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _spread_out(losses: DataFrame, names: list[str], order_by: str | None, rows: int, o: Options, ties: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Mean losses, means of the draws of all rounds, and (for hac) the long-run covariance, without gathering the table."""
     spark, m = losses.sparkSession, len(names)
     if order_by and losses.where(F.col(order_by).isNull()).limit(1).count():
@@ -308,23 +309,23 @@ def _spread_out(losses: DataFrame, names: list[str], order_by: str | None, rows:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     path = f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/tessera/mcs-{uuid.uuid4().hex}"
     try:
-        _packed(losses, names, order_by, rows).write.parquet(path)
+        _packed(losses, names, order_by, rows, ties).write.parquet(path)
         blocks = spark.read.schema("block long, x binary").parquet(path)
         sums = _all_draw_sums(blocks, m, rows, o.block, (m - 1) * o.draws, Rng(o.seed, o.stream))
     finally:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    longrun = _longrun(losses, names, order_by, rows, mean, o) if o.variance == "hac" else None
+    longrun = _longrun(losses, names, order_by, rows, mean, o, ties) if o.variance == "hac" else None
     return mean, (sums / rows).reshape(m - 1, o.draws, m), longrun
 
 
-def _longrun(losses: DataFrame, names: list[str], order_by: str | None, rows: int, mean: np.ndarray, o: Options) -> np.ndarray:
+def _longrun(losses: DataFrame, names: list[str], order_by: str | None, rows: int, mean: np.ndarray, o: Options, ties: Sequence[str]) -> np.ndarray:
     """Long-run covariance matrix of the losses, as ``_hac_of_mean`` weighs lags."""
     m, lags = len(names), list(range(1, o.lag(rows) + 1))
     t = F.col(order_by) if order_by else F.monotonically_increasing_id()
-    c = losses.select(t.alias("__order"), *[(F.coalesce(F.col(x).cast("double"), F.lit(math.nan)) - F.lit(float(mean[i]))).alias(f"x{i}") for i, x in enumerate(names)])
+    c = losses.select(t.alias("__order"), *ties, *[(F.coalesce(F.col(x).cast("double"), F.lit(math.nan)) - F.lit(float(mean[i]))).alias(f"x{i}") for i, x in enumerate(names)])
     cells = [f"x{i}" for i in range(m)]
-    pairs = lagged(c, cells, "__order", lags)
+    pairs = lagged(c, cells, "__order", lags, ties=ties)
     named = [(k, i, j) for k in [0, *lags] for i in range(m) for j in range(m)]
     found = pairs.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}_lag{k}" if k else f"x{j}")).alias(f"s{at}") for at, (k, i, j) in enumerate(named)]).first()
     total = np.zeros((m, m))
@@ -338,18 +339,21 @@ def _contrasts(m: int, statistic: str) -> np.ndarray:
     return differentials(np.eye(m), statistic)[0]
 
 
-def mcs(losses: DataFrame, options: Options = Options(), order_by: str | None = None, names: Sequence[str] | None = None, parallel: bool = True) -> Result:
+def mcs(
+    losses: DataFrame, options: Options = Options(), order_by: str | None = None, names: Sequence[str] | None = None, parallel: bool = True, ties: Sequence[str] = ()
+) -> Result:
     """Model confidence set.  All rounds are run; the set is what stood at the first round with
-    p >= alpha; a model's p-value is the greatest so far, and the last model's is 1."""
-    names = list(names or [n for n in model_names(losses) if n != order_by])
+    p >= alpha; a model's p-value is the greatest so far, and the last model's is 1.  Rows that
+    are equal in ``order_by`` follow the columns ``ties``, which are no models."""
+    names = list(names or [n for n in model_names(losses) if n != order_by and n not in ties])
     n, m = losses.count(), len(names)
     if m < 2 or n < 2 or not 1 <= options.block <= n:
         raise ValueError("a confidence set needs two models, two rows and a block within the rows")
     spread = parallel and options.variance != "hac_resample" and n * m > GATHERED_CELLS
     if spread:
-        mean, means, longrun = _spread_out(losses, names, order_by, n, options)
+        mean, means, longrun = _spread_out(losses, names, order_by, n, options, ties)
     else:
-        x = _matrix(losses, names, order_by, n)
+        x = _matrix(losses, names, order_by, n, ties)
         mean, rng, spark = x.mean(axis=0), Rng(options.seed, options.stream), losses.sparkSession if parallel else None
     alive, p_so_far, order, pvalue, kept = list(range(m)), 0.0, [], [1.0] * m, None
     while len(alive) > 1:
@@ -422,16 +426,16 @@ def _dm(n: int, mean: float, longrun: float) -> DieboldMariano:
     return DieboldMariano(s, float(2 * special.norm_cdf(-abs(s))), mean, longrun, "OK")
 
 
-def dm_test(losses: DataFrame, a: str, b: str, order_by: str, horizon: int = 1, kernel: str = "rectangular") -> DieboldMariano:
+def dm_test(losses: DataFrame, a: str, b: str, order_by: str, horizon: int = 1, kernel: str = "rectangular", ties: Sequence[str] = ()) -> DieboldMariano:
     """Diebold-Mariano test of equal losses: mean difference over its long-run standard error,
     with lags up to horizon - 1.  Two aggregations; only their one row reaches the driver."""
     from tessera.operators.stats import hac_variance
 
-    d = losses.select(F.col(order_by).alias("t"), (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
+    d = losses.select(F.col(order_by).alias("t"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(ties)], (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
     first = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean")).first()
     if not first.n or horizon > first.n:
         raise ValueError("too few rows for the horizon")
-    v = hac_variance(d, "d", horizon - 1, "t", kernel).first().hac
+    v = hac_variance(d, "d", horizon - 1, "t", kernel, ties=[f"tie{i}" for i in range(len(ties))]).first().hac
     return _dm(first.n, first.mean, v)
 
 

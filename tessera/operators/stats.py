@@ -137,19 +137,21 @@ def positions(df: DataFrame, order_by: str, name: str = "pos", ties: Sequence[st
     return placed.withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__bucket", "__b", "__inside", "__start")
 
 
-def lagged(df: DataFrame, xs: Sequence[str], order_by: str, lags: Sequence[int], by: By = None) -> DataFrame:
+def lagged(df: DataFrame, xs: Sequence[str], order_by: str, lags: Sequence[int], by: By = None, ties: Sequence[str] = ()) -> DataFrame:
     """Columns ``x`` and ``x_lag{k}`` (null before the start) for each row, distributed.
 
     With ``by`` each group is a series of its own (one window partition a group).  Rows of one
-    time follow the order of their values, so the result depends on the data alone.
+    time follow the columns ``ties`` (say, their place in a file), then the order of their values,
+    so the result depends on the data alone.
     """
-    picked = [F.col(order_by).alias("__t"), *[_d(x).alias(x) for x in dict.fromkeys(xs)]]
+    last = [*[f"__tie{i}" for i in range(len(ties))], *xs]
+    picked = [F.col(order_by).alias("__t"), *[F.col(c).alias(f"__tie{i}") for i, c in enumerate(ties)], *[_d(x).alias(x) for x in dict.fromkeys(xs)]]
     if by:
-        w = Window.partitionBy(*by).orderBy("__t", *xs)
+        w = Window.partitionBy(*by).orderBy("__t", *last)
         return df.select(*by, *picked).select(*by, *xs, *[F.lag(x, k).over(w).alias(f"{x}_lag{k}") for x in xs for k in lags])
     most = max(lags, default=0)
     size = max(_CHUNK, 4 * most)
-    placed = positions(df.select(*picked), "__t", "__pos", xs)
+    placed = positions(df.select(*picked), "__t", "__pos", last).select("__pos", *dict.fromkeys(xs))
     chunk = F.floor(F.col("__pos") / size)
     tail = F.col("__pos") % size >= size - most
     copies = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
@@ -159,9 +161,9 @@ def lagged(df: DataFrame, xs: Sequence[str], order_by: str, lags: Sequence[int],
     return out.where(F.col("__own") == F.col("__chunk")).drop("__own", "__chunk")
 
 
-def autocorrelation(df: DataFrame, x: str, lag: int, order_by: str, by: By = None, name: str = "autocorr") -> DataFrame:
+def autocorrelation(df: DataFrame, x: str, lag: int, order_by: str, by: By = None, name: str = "autocorr", ties: Sequence[str] = ()) -> DataFrame:
     """Correlation of a series with itself ``lag`` rows on, each side with its own mean."""
-    rows = lagged(df, [x], order_by, [lag], by).where(F.col(f"{x}_lag{lag}").isNotNull())
+    rows = lagged(df, [x], order_by, [lag], by, ties).where(F.col(f"{x}_lag{lag}").isNotNull())
     c = _corr(F.col(x), F.col(f"{x}_lag{lag}"))
     return _agg(rows, by, _guard(F.count(F.lit(1)) < 2, "autocorrelation needs two pairs", c).alias(name))
 
@@ -174,14 +176,14 @@ def _centred(df: DataFrame, xs: Sequence[str]) -> DataFrame:
     return shown.drop(*[f"__m{i}" for i in range(len(xs))])
 
 
-def autocovariance(df: DataFrame, xs: Sequence[str], lag: int = 0, order_by: str | None = None) -> DataFrame:
+def autocovariance(df: DataFrame, xs: Sequence[str], lag: int = 0, order_by: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Matrix as rows (row, column, value): mean of a(t) * b(t + lag), centred by full-sample means."""
     if lag == 0:
         rows = df.agg(*[F.covar_pop(_d(a), _d(b)).alias(f"v{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs)])
     else:
         if order_by is None:
             raise ValueError("a lag needs order_by")
-        pairs = lagged(_centred(df.select(order_by, *xs), xs), xs, order_by, [lag]).where(F.col(f"{xs[0]}_lag{lag}").isNotNull())
+        pairs = lagged(_centred(df.select(order_by, *ties, *xs), xs), xs, order_by, [lag], ties=ties)  # pairs with a null count for neither sum nor number
         rows = pairs.agg(*[F.avg(F.col(f"{a}_lag{lag}") * F.col(b)).alias(f"v{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs)])
     cells = [F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(f"v{i}_{j}").alias("value")) for i, a in enumerate(xs) for j, b in enumerate(xs)]
     return rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
@@ -194,10 +196,10 @@ def hac_weight(kernel: str, k: int, lags: int) -> float:
     return 1.0 - k / (lags + 1) if kernel == "bartlett" else 1.0
 
 
-def hac_variance(df: DataFrame, x: str, lags: int, order_by: str, kernel: str = "bartlett", name: str = "hac") -> DataFrame:
+def hac_variance(df: DataFrame, x: str, lags: int, order_by: str, kernel: str = "bartlett", name: str = "hac", ties: Sequence[str] = ()) -> DataFrame:
     """Long-run variance: g0 + 2 * sum of w(k) g(k), every g(k) divided by n."""
     hac_weight(kernel, 0, lags)
-    rows = lagged(_centred(df.select(order_by, x), [x]), [x], order_by, list(range(1, lags + 1)))
+    rows = lagged(_centred(df.select(order_by, *ties, x), [x]), [x], order_by, list(range(1, lags + 1)), ties=ties)
     n = F.count(F.lit(1))
     total = F.sum(F.col(x) * F.col(x))
     for k in range(1, lags + 1):

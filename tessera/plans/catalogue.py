@@ -184,18 +184,26 @@ _add(
     lambda t: stats.spearman(t("part"), "p_size", "p_retailprice"),
     f"SELECT CORR(a, b) AS spearman FROM (SELECT {_RANKED.format('p_size')} AS a, {_RANKED.format('p_retailprice')} AS b FROM part)",
 )
+_PLACE = ["file", "place"]
+
+
+def _events(t):
+    """Events and their place in the table, which events of one time follow: SQL's sort leaves them so in a table in the order of time."""
+    return t("events").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
 _add(
     "stats_autocorr",
-    lambda t: stats.autocorrelation(t("events"), "value", 1, "ts"),
+    lambda t: stats.autocorrelation(_events(t), "value", 1, "ts", ties=_PLACE),
     "SELECT CORR(v, w) AS autocorr FROM (SELECT value AS v, LAG(value, 1) OVER (ORDER BY ts) AS w FROM events) WHERE w IS NOT NULL",
 )
 _COV = "WITH m AS (SELECT AVG(value) AS a, AVG(user_id) AS b FROM events), e AS (SELECT value - a AS x, user_id - b AS y, ts FROM events, m), l AS (SELECT x, y, LAG(x, {0}) OVER (ORDER BY ts) AS lx, LAG(y, {0}) OVER (ORDER BY ts) AS ly FROM e)"
 _CELLS = "SELECT 'value' AS \"row\", 'value' AS \"column\", AVG(lx * x) AS value FROM l UNION ALL SELECT 'value', 'user_id', AVG(lx * y) FROM l UNION ALL SELECT 'user_id', 'value', AVG(ly * x) FROM l UNION ALL SELECT 'user_id', 'user_id', AVG(ly * y) FROM l"
-_add("stats_autocov", lambda t: stats.autocovariance(t("events"), ["value", "user_id"], 2, "ts"), _COV.format(2) + _CELLS)
+_add("stats_autocov", lambda t: stats.autocovariance(_events(t), ["value", "user_id"], 2, "ts", _PLACE), _COV.format(2) + _CELLS)
 _add("stats_covariance", lambda t: stats.autocovariance(t("events"), ["value", "user_id"]), _COV.format(0) + _CELLS)
 _add(
     "stats_hac",
-    lambda t: stats.hac_variance(t("events"), "value", 2, "ts"),
+    lambda t: stats.hac_variance(_events(t), "value", 2, "ts", ties=_PLACE),
     """WITH e AS (SELECT value - (SELECT AVG(value) FROM events) AS x, ts FROM events),
     l AS (SELECT x, LAG(x, 1) OVER (ORDER BY ts) AS a, LAG(x, 2) OVER (ORDER BY ts) AS b FROM e)
     SELECT (SUM(x * x) + 2 * (2.0 / 3) * SUM(x * a) + 2 * (1.0 / 3) * SUM(x * b)) / COUNT(*) AS hac FROM l""",
@@ -243,18 +251,18 @@ for _name, _text in {"mse": "(actual - {0}) * (actual - {0})", "mae": "ABS(actua
 
 
 def _event_losses(t):
-    e = t("events")
-    return e.select("ts", (F.col("value") * F.col("value")).alias("a"), F.abs(F.col("value") * 3 - F.col("user_id")).alias("b"), (F.col("value") * 0 + 40).alias("c"))
+    e = _events(t)
+    return e.select("ts", *_PLACE, (F.col("value") * F.col("value")).alias("a"), F.abs(F.col("value") * 3 - F.col("user_id")).alias("b"), (F.col("value") * 0 + 40).alias("c"))
 
 
 def _mcs(t):
     losses = _event_losses(t)
-    return forecast.mcs(losses, order_by="ts").frame(losses.sparkSession)
+    return forecast.mcs(losses, order_by="ts", ties=_PLACE).frame(losses.sparkSession)
 
 
 def _dm(t):
     losses = _event_losses(t)
-    r = forecast.dm_test(losses, "a", "b", "ts", 2, "bartlett")
+    r = forecast.dm_test(losses, "a", "b", "ts", 2, "bartlett", _PLACE)
     return losses.sparkSession.createDataFrame([(r.statistic, r.mean_difference, r.status)], "statistic double, mean_difference double, status string")
 
 

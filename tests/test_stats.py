@@ -89,3 +89,36 @@ def test_fine_buckets(spark, monkeypatch):
     assert stats.median(df.limit(0), "v").first()[0] is None
     ranks = {r.i: r["rank"] for r in stats.rank(finite, "v").collect()}
     assert all(abs(ranks[i] - (sum(u < v for u in values[5:]) + (sum(u == v for u in values[5:]) + 1) / 2)) < 1e-9 for i, v in enumerate(values) if i >= 5 and i % 50 == 0)
+
+
+def test_registered_lags_keep_the_order_of_the_table_in_one_time(spark, tmp_path):
+    """Events of one time follow their place in the files, as in DuckDB's sort of a table in the order of time."""
+    import duckdb
+
+    from tessera.plans import catalogue
+
+    g = np.random.default_rng(6)
+    rows = [(i // 3, float(v), int(u)) for i, (v, u) in enumerate(zip(g.normal(5, 3, 900), g.integers(0, 50, 900)))]
+    spark.createDataFrame(rows, "ts int, value double, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    files = sorted(str(p) for p in (tmp_path / "events.parquet").glob("*.parquet"))
+    assert len(files) > 1
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE TABLE events AS SELECT * FROM read_parquet({files})")
+    assert [tuple(r) for r in con.sql("SELECT ts, value, user_id FROM events").fetchall()] == rows
+    for name in ("stats_autocov", "stats_autocorr", "stats_hac", "dm_test"):
+        got = [tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
+        want = con.sql(catalogue.oracle_sql()[name]).fetchall()
+        key = lambda r: [x for x in r if isinstance(x, str)]
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert key(a) == key(b) and [x for x in a if not isinstance(x, str)] == pytest.approx([x for x in b if not isinstance(x, str)]), name
+    x = np.array([r[1] for r in rows])
+    x -= x.mean()
+    assert {(r.row, r.column): r.value for r in catalogue.queries()["stats_autocov"](spark, str(tmp_path)).collect()}["value", "value"] == pytest.approx((x[2:] * x[:-2]).mean())
+
+
+def test_autocovariance_leaves_out_pairs_with_a_null_only(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (1, None, 4.0), (2, 3.0, 9.0)], "t int, x double, y double")
+    got = {(r.row, r.column): r.value for r in stats.autocovariance(df, ["x", "y"], 1, "t").collect()}
+    assert got["x", "x"] is None and got["y", "y"] == pytest.approx(((2 - 5) * (4 - 5) + (4 - 5) * (9 - 5)) / 2)
+    assert got["x", "y"] == pytest.approx((1 - 2) * (4 - 5)) and got["y", "x"] == pytest.approx((4 - 5) * (3 - 2))
